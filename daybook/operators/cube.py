@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as S
-from ..functions.numeric import frac, ratio
+from ..functions.numeric import frac, inaction_cost, inaction_opportunity, ratio
 from .ranking import ranked
 
 MAX_PERIODS = 600

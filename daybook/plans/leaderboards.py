@@ -14,7 +14,7 @@ ACTIONABLE_LENSES = (1, 3, 4, 6, 7, 8, 10, 11, 13, 14, 15)
 def _persistence() -> Column:
     """1..5, from "<n> months" in the verdict text; 3 when none is named; at least 4 if critical."""
     months = F.expr(r"try_cast(nullif(regexp_extract(evaluated, '(?i)(\\d+)\\s*month', 1), '') as int)")
-    base = F.coalesce(F.least(F.lit(5), F.greatest(F.lit(1), months)), F.lit(3))
+    base = F.when(months.isNotNull(), F.least(F.lit(5), F.greatest(F.lit(1), months))).otherwise(F.lit(3))
     return F.when(F.col("severity") == CRITICAL, F.greatest(base, F.lit(4))).otherwise(base)
 
 
