@@ -6,7 +6,7 @@ so every table grows with them.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ class Books:
     def t(self, name: str) -> DataFrame:
         return table(self.spark, self.sf, name)
 
-    @property
+    @cached_property
     def vouchers(self) -> DataFrame:
         pr, st = c("o_orderpriority"), c("o_orderstatus")
         kind = (F.when(pr == "1-URGENT", "Export Sales").when(pr == "2-HIGH", "Sales Return Note").when(pr == "3-MEDIUM", "Tax Invoice GST")
@@ -42,7 +42,7 @@ class Books:
             c("o_totalprice").cast(MONEY).alias("amount"), (c("o_totalprice") < 5000).alias("is_cancelled"), (c("o_totalprice") >= 495000).alias("is_optional"),
             c("o_orderkey").alias("alter_id"), pr.alias("priority"), st.alias("state_code"))
 
-    @property
+    @cached_property
     def types(self) -> DataFrame:
         return self.spark.createDataFrame(TYPE_PARENTS, "name string, parent string")
 
@@ -51,7 +51,7 @@ class Books:
         return self.t("part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice", unit.alias("unit"),
                                      F.concat_ws(" #", c("p_name"), c("p_partkey").cast("string")).alias("item"))
 
-    @property
+    @cached_property
     def stock_lines(self) -> DataFrame:
         sup = self.t("supplier").select("s_suppkey", "s_name")
         return self.t("lineitem").join(self._items(), c("l_partkey") == c("p_partkey"), "left").join(sup, c("l_suppkey") == c("s_suppkey"), "left").select(
@@ -61,19 +61,16 @@ class Books:
             c("l_extendedprice").cast(MONEY).alias("amount"), L(True).alias("is_credit"),
             F.when(c("l_discount") > 0.02, c("s_name")).alias("cost_centre"))
 
-    @property
+    @cached_property
     def ledger_lines(self) -> DataFrame:
-        v = self.vouchers
         none = L(None).cast("string")
-
-        def per_voucher(line, ledger, amount, credit, when, centre=none):
-            return v.filter(when).select("company_id", "voucher_id", L(line).cast("bigint").alias("line"), ledger.alias("ledger"), amount.cast(MONEY).alias("amount"),
-                                         L(credit).alias("is_credit"), centre.alias("cost_centre"))
-
-        header = [per_voucher(1, c("party"), c("amount"), False, L(True)),
-                  per_voucher(2, L("Round Off"), c("amount") - F.round("amount", 0), True, L(True)),
-                  per_voucher(3, L("Freight Outward"), L("25.00"), True, c("state_code") == "F", L("Head Office")),
-                  per_voucher(4, L("Consulting Income"), L("500.00"), True, (c("priority") == "1-URGENT") & (c("state_code") == "O"))]
+        entry = lambda name, amount, credit, when=L(True), line=None, centre=none: F.when(when, F.struct(
+            *([] if line is None else [L(line).cast("bigint").alias("line")]), name.alias("ledger"), amount.cast(MONEY).alias("amount"),
+            L(credit).alias("is_credit"), centre.alias("cost_centre")))
+        header = self.vouchers.select("company_id", "voucher_id", F.inline(F.array_compact(F.array(
+            entry(c("party"), c("amount"), False, line=1), entry(L("Round Off"), c("amount") - F.round("amount", 0), True, line=2),
+            entry(L("Freight Outward"), L("25.00"), True, c("state_code") == "F", 3, L("Head Office")),
+            entry(L("Consulting Income"), L("500.00"), True, (c("priority") == "1-URGENT") & (c("state_code") == "O"), 4)))))
         cust = self.t("customer").select("c_custkey", "c_nationkey").join(self.t("nation").select("n_nationkey", "n_regionkey"), c("c_nationkey") == c("n_nationkey"))
         place = self.t("orders").select("o_orderkey", "o_custkey").join(cust, c("o_custkey") == c("c_custkey")).select("o_orderkey", c("n_regionkey").alias("rk"))
         li = self.t("lineitem").join(self._items().select("p_partkey", "p_type"), c("l_partkey") == c("p_partkey"), "left").join(
@@ -83,17 +80,13 @@ class Books:
         half = (ext * c("l_tax").cast("decimal(4,2)") * L("0.5").cast("decimal(2,1)")).cast(MONEY)
         disc = (ext * c("l_discount").cast("decimal(4,2)")).cast(MONEY)
         local = c("rk") <= 1
-        entry = lambda name, amount, credit, when: F.when(when, F.struct(name.alias("ledger"), amount.alias("amount"), L(credit).alias("is_credit")))
-        parts = F.array(entry(F.concat(L("Sales Account "), c("p_type")), ext, True, L(True)), entry(L("Output CGST"), half, True, local),
-                        entry(L("Output SGST"), half, True, local), entry(L("Output IGST"), tax, True, ~local), entry(L("Trade Discount"), disc, False, L(True)))
+        parts = F.array(entry(F.concat(L("Sales Account "), c("p_type")), ext, True), entry(L("Output CGST"), half, True, local),
+                        entry(L("Output SGST"), half, True, local), entry(L("Output IGST"), tax, True, ~local), entry(L("Trade Discount"), disc, False))
         lines = li.select(L("CO1").alias("company_id"), F.concat(L("V"), c("l_orderkey")).alias("voucher_id"), (c("l_linenumber") + 10).cast("bigint").alias("line"),
-                          F.inline(F.array_compact(parts))).withColumn("cost_centre", none)
-        out = lines
-        for h in header:
-            out = out.unionByName(h)
-        return out
+                          F.inline(F.array_compact(parts)))
+        return lines.unionByName(header)
 
-    @property
+    @cached_property
     def ledgers(self) -> DataFrame:
         n = self.t("nation").join(self.t("region"), c("n_regionkey") == c("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
         town = F.concat(F.char(L(65) + c("n_nationkey")), L("pur"))
@@ -117,12 +110,12 @@ class Books:
                        L(None).cast("array<string>").alias("address_lines"), L(None).cast(MONEY).alias("closing_balance"))
         return cust.unionByName(sup).unionByName(acct).unionByName(nat)
 
-    @property
+    @cached_property
     def items(self) -> DataFrame:
         return self._items().filter(c("p_size") <= 45).select(L("CO1").alias("company_id"), F.concat(L("I"), c("p_partkey")).alias("source_object_id"),
                                                               c("item").alias("name"), c("p_brand").alias("parent"), c("unit").alias("base_units"))
 
-    @property
+    @cached_property
     def groups(self) -> DataFrame:
         p = self.t("part")
         kinds = p.select("p_type").distinct().select(L("CO1").alias("company_id"), F.concat(L("GT"), c("p_type")).alias("source_object_id"), c("p_type").alias("name"),
@@ -131,11 +124,11 @@ class Books:
             L("CO1").alias("company_id"), F.concat(L("GB"), c("p_brand")).alias("source_object_id"), c("p_brand").alias("name"), c("t").alias("parent"))
         return kinds.unionByName(brands)
 
-    @property
+    @cached_property
     def cost_centres(self) -> DataFrame:
         return self.t("supplier").select(L("CO1").alias("company_id"), F.concat(L("C"), c("s_suppkey")).alias("source_object_id"), c("s_name").alias("name"))
 
-    @property
+    @cached_property
     def classes(self) -> DataFrame:
         seg = c("c_mktsegment")
         return self.t("customer").filter(seg != "HOUSEHOLD").select(
@@ -144,8 +137,15 @@ class Books:
             .otherwise("ledger_group").alias("source"), L("2024-01-01").alias("updated_at"))
 
 
+_books: dict = {}
+
+
 def books(spark: SparkSession, sf: str) -> Books:
-    return Books(spark, sf)
+    """Frame definitions are kept per session (nothing is materialised)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _books:
+        _books[key] = Books(spark, sf)
+    return _books[key]
 
 
 # --- the same tables in SQL --------------------------------------------------------------

@@ -6,6 +6,8 @@ so they stay inside generated code.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +66,8 @@ def _text(c: Column) -> Column:
 
 
 def _has_any(text: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
+    """One pattern per class keeps the generated code small; words are matched literally."""
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def _first_match(rules: list[tuple[str, Column]], otherwise: str) -> Column:
@@ -79,7 +79,7 @@ def _first_match(rules: list[tuple[str, Column]], otherwise: str) -> Column:
 
 def ledger_class(parent: Column, name: Column) -> Column:
     p, n = F.lower(F.coalesce(parent, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
-    rules = []
+    rules: list[tuple[str, Column]] = []
     for cls, words in LEDGER_PARENT_WORDS:
         cond = _has_any(p, words)
         if cls in LEDGER_NAME_WORDS:
@@ -90,13 +90,17 @@ def ledger_class(parent: Column, name: Column) -> Column:
     return _first_match(rules, "GENERAL")
 
 
-def voucher_class(name: Column, parent: Column) -> Column:
-    text = F.concat_ws(" ", _text(name), _text(parent))
+def class_text(name: Column, parent: Column) -> Column:
+    return F.concat_ws(" ", _text(name), _text(parent))
+
+
+def voucher_class(text: Column) -> Column:
+    """Class of a ``class_text``; put the text in a column of its own so that it is built once per row."""
     return _first_match([(cls, _has_any(text, words)) for cls, words in VOUCHER_WORDS], "OTHER")
 
 
-def ledger_role(ledger: Column, party: Column) -> Column:
-    name, who = _text(ledger), _text(party)
+def ledger_role(name: Column, who: Column) -> Column:
+    """Role of a ledger given normalised ledger and party names."""
     rules = [("PARTY", (F.length(who) > 0) & (name == who))]
     rules += [(role, name.rlike(pattern)) for role, pattern in ROLE_PATTERNS]
     return _first_match(rules, "BASE_AMOUNT")
@@ -111,12 +115,14 @@ def classify_ledger(ledgers: DataFrame) -> DataFrame:
 
 
 def classify_voucher_type(types: DataFrame) -> DataFrame:
-    return types.withColumn("voucher_class", voucher_class(F.col("name"), F.col("parent")))
+    return types.withColumn("_text", class_text(F.col("name"), F.col("parent"))).withColumn(
+        "voucher_class", voucher_class(F.col("_text"))).drop("_text")
 
 
 def classify_ledger_role(lines: DataFrame) -> DataFrame:
     """Expects ``ledger`` and ``party`` on every line."""
-    return lines.withColumn("role", ledger_role(F.col("ledger"), F.col("party")))
+    named = lines.withColumn("_name", _text(F.col("ledger"))).withColumn("_who", _text(F.col("party")))
+    return named.withColumn("role", ledger_role(F.col("_name"), F.col("_who"))).drop("_name", "_who")
 
 
 MAX_PARENT_HOPS = 5
@@ -139,7 +145,8 @@ def voucher_type_classes(types: DataFrame) -> DataFrame:
         step = edges.select(F.col("type_key").alias(f"_k{hop}"), F.col("parent_key").alias(f"_p{hop}"))
         walk = walk.join(step, F.col("root_key") == F.col(f"_k{hop}"), "left").withColumn(
             "root_key", F.coalesce(f"_p{hop}", "root_key")).drop(f"_k{hop}", f"_p{hop}")
-    return walk.withColumn("voucher_class", voucher_class(F.col("type_key"), F.col("root_key")))
+    return walk.withColumn("_text", class_text(F.col("type_key"), F.col("root_key"))).withColumn(
+        "voucher_class", voucher_class(F.col("_text"))).drop("_text")
 
 
 def resolve_voucher_type(vouchers: DataFrame, types: DataFrame) -> DataFrame:
@@ -148,16 +155,15 @@ def resolve_voucher_type(vouchers: DataFrame, types: DataFrame) -> DataFrame:
     keyed = vouchers.withColumn("_type", _text(F.col("voucher_type")))
     return keyed.join(classes, keyed["_type"] == classes["type_key"], "left").withColumn(
         "voucher_class", F.when(F.length("_type") == 0, "OTHER").otherwise(
-            F.coalesce("_cls", voucher_class(F.col("_type"), F.lit(""))))
+            F.coalesce("_cls", voucher_class(F.col("_type"))))
     ).drop("_type", "type_key", "_cls")
 
 
-def flow_of(name: Column, parent: Column, cls: Column) -> Column:
-    n, p = _text(name), _text(parent)
-    rules = [("ORDER", n.contains("order") | p.contains("order")),
-             ("INVENTORY", n.rlike(MOVEMENT_PATTERN) | p.rlike(MOVEMENT_PATTERN))]
-    rules += [(flow, cls == c) for c, flow in FLOW_OF_CLASS.items()]
-    return _first_match(rules, "OTHER")
+def flow_rules(name: Column, parent: Column, cls: Column) -> Column:
+    pairs = [F.lit(x) for pair in FLOW_OF_CLASS.items() for x in pair]
+    by_class = F.coalesce(F.element_at(F.create_map(*pairs), cls), F.lit("OTHER"))
+    moves = name.rlike(MOVEMENT_PATTERN) | parent.rlike(MOVEMENT_PATTERN)
+    return F.when(name.contains("order") | parent.contains("order"), "ORDER").when(moves, "INVENTORY").otherwise(by_class)
 
 
 def resolve_flow(vouchers: DataFrame, types: DataFrame) -> DataFrame:
@@ -165,7 +171,7 @@ def resolve_flow(vouchers: DataFrame, types: DataFrame) -> DataFrame:
     dim = types.select(_text(F.col("name")).alias("_key"), _text(F.col("parent")).alias("_parent")).groupBy("_key").agg(
         F.max("_parent").alias("_parent"))
     keyed = vouchers.withColumn("_type", _text(F.col("voucher_type")))
-    joined = keyed.join(dim, keyed["_type"] == dim["_key"], "left")
-    parent = F.coalesce("_parent", F.lit(""))
-    flow = flow_of(F.col("_type"), parent, voucher_class(F.col("_type"), parent))
-    return joined.withColumn("flow", flow).drop("_type", "_key", "_parent")
+    joined = keyed.join(dim, keyed["_type"] == dim["_key"], "left").withColumn("_parent", F.coalesce("_parent", F.lit("")))
+    joined = joined.withColumn("_text", class_text(F.col("_type"), F.col("_parent"))).withColumn("_cls", voucher_class(F.col("_text")))
+    return joined.withColumn("flow", flow_rules(F.col("_type"), F.col("_parent"), F.col("_cls"))).drop(
+        "_type", "_key", "_parent", "_text", "_cls")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import coarse_role, ledger_class, ledger_role, resolve_voucher_type
+from ..functions.classify import classify_ledger_role, coarse_role, ledger_class, resolve_voucher_type
 from ..functions.identity import name_key, row_id
 from ..functions.places import parse_city
 
@@ -85,12 +85,13 @@ def classify_customers(ledgers: DataFrame, classes: DataFrame) -> DataFrame:
 def with_roles(ledger_lines: DataFrame, vouchers: DataFrame) -> DataFrame:
     """Ledger lines with their role; PARTY needs the voucher's own party name."""
     who = vouchers.select("company_id", "voucher_id", "party")
-    return ledger_lines.join(who, KEY).withColumn("role", ledger_role(c("ledger"), c("party")))
+    return classify_ledger_role(ledger_lines.join(who, KEY))
 
 
 def voucher_charges(roled: DataFrame) -> DataFrame:
     """Per voucher: tax, charges, signed round-off, discount, their net load, and the base ledger."""
-    role = coarse_role(c("role"))
+    roled = roled.withColumn("_role", coarse_role(c("role")))
+    role = c("_role")
     part = lambda r, v: F.coalesce(F.sum(F.when(role == r, v)), F.lit(0)).cast(MONEY)
     size = F.abs("amount")
     out = roled.groupBy(*KEY).agg(
