@@ -30,9 +30,19 @@ def q(name: str, sql: str | None = None):
     return add
 
 
+_registers: dict = {}
+
+
 def register(spark, sf, direction="SALES", filters=None):
+    """The register of a direction; the unfiltered one stays cached for the breakdowns that share it."""
     b = books(spark, sf)
-    return rg.build_register(b.vouchers, b.stock_lines, b.ledger_lines, b.types, ft.party_profile(b.ledgers), direction, filters)
+    key = (spark.sparkContext.applicationId, sf, direction)
+    if filters is None and key in _registers:
+        return _registers[key]
+    reg = rg.build_register(b.vouchers, b.stock_lines, b.ledger_lines, b.types, ft.party_profile(b.ledgers), direction, filters)
+    if filters is None:
+        _registers[key] = reg.cached()
+    return _registers[key] if filters is None else reg
 
 
 def reg_sql(direction: str = "SALES", where: str = "true", line_where: str = "true", semi: bool = False) -> str:

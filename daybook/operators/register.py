@@ -66,6 +66,10 @@ class Register:
     vouchers: DataFrame
     lines: DataFrame
 
+    def cached(self) -> Register:
+        """Keep both frames while several breakdowns of the same register are read."""
+        return Register(self.vouchers.persist(), self.lines.persist())
+
 
 def with_places(vouchers: DataFrame, profile: DataFrame) -> DataFrame:
     place = profile.select(c("company_id").alias("_pc"), name_key(c("name")).alias("_pk"), "country", "state", "city", "city_confidence").groupBy(
