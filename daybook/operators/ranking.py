@@ -50,7 +50,7 @@ def ranked(
         *by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         *([F.sum("_s").over(before).alias("_s_before")] if running else []),
     )
-    order = [F.col("_k").desc(), *[F.col(t).asc() for t in tie]]
+    order = [F.col("_k").desc(), *([] if competition else [F.col(t).asc() for t in tie])]
     local = Window.partitionBy(*by, "_b").orderBy(*order)
     position = F.rank().over(local) if competition else F.row_number().over(local)
     out = d.join(offsets, [*by, "_b"]).withColumn(name, (F.col("_before") + position).cast("bigint"))
