@@ -66,7 +66,8 @@ rl AS (SELECT rv.voucher_id, voucher_number, voucher_date, party, country, state
   ch::DOUBLE AS charges, base::DOUBLE AS base, base_ledger, tax::DOUBLE AS total_tax FROM charges""")
 def _(spark, sf):
     b = books(spark, sf)
-    out = rg.voucher_ledger_breakdown(ft.with_roles(b.ledger_lines, b.vouchers))
+    roled = ft.with_roles(b.ledger_lines, b.vouchers)
+    out = rg.voucher_ledger_breakdown(roled).join(ft.base_ledgers(roled, b.vouchers), ft.KEY, "left")
     return out.select("voucher_id", "base_ledger", *[c(x).cast("double").alias(x) for x in out.columns if x not in ("company_id", "voucher_id", "base_ledger")])
 
 

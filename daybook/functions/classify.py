@@ -101,7 +101,9 @@ def voucher_class(text: Column) -> Column:
 
 def ledger_role(name: Column, who: Column) -> Column:
     """Role of a ledger given normalised ledger and party names."""
-    rules = [("PARTY", (F.length(who) > 0) & (name == who))]
+    any_role = "|".join(pattern for _, pattern in ROLE_PATTERNS)
+    # Most lines are party or base lines: the party test and one combined pattern settle them.
+    rules = [("PARTY", (F.length(who) > 0) & (name == who)), ("BASE_AMOUNT", ~name.rlike(any_role))]
     rules += [(role, name.rlike(pattern)) for role, pattern in ROLE_PATTERNS]
     return _first_match(rules, "BASE_AMOUNT")
 

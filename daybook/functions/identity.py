@@ -56,11 +56,15 @@ def fiscal_year(d: Column) -> Column:
 
 
 def signed_text_amount(c: Column) -> Column:
-    """Amount text to a signed decimal: text after the last "=", "Cr" at the end or a leading "-" is credit (negative)."""
-    text = F.trim(F.element_at(F.split(c.cast("string"), "="), -1))
+    """Amount text to a signed decimal: text after the last "=", "Cr" at the end or a leading "-" is credit (negative).
+
+    Plain numbers are cast directly; only text that does not cast takes the pattern path.
+    """
+    raw = c.cast("string")
+    text = F.trim(F.element_at(F.split(raw, "="), -1))
     magnitude = F.abs(F.coalesce(_number(text), F.lit(0).cast("decimal(18,2)")))
     credit = text.rlike(r"(?i)cr\s*$") | text.startswith("-")
-    return F.when(credit, -magnitude).otherwise(magnitude).cast("decimal(18,2)")
+    return F.coalesce(raw.try_cast("decimal(18,2)"), F.when(credit, -magnitude).otherwise(magnitude)).cast("decimal(18,2)")
 
 
 def _number(text: Column) -> Column:

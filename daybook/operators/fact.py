@@ -89,18 +89,26 @@ def with_roles(ledger_lines: DataFrame, vouchers: DataFrame) -> DataFrame:
 
 
 def voucher_charges(roled: DataFrame) -> DataFrame:
-    """Per voucher: tax, charges, signed round-off, discount, their net load, and the base ledger."""
+    """Per voucher: tax, charges, signed round-off, discount, base ledgers, and the net load.
+
+    Sums only, so this stays a hash aggregation with map-side combine.
+    """
     roled = roled.withColumn("_role", coarse_role(c("role")))
     role = c("_role")
     part = lambda r, v: F.coalesce(F.sum(F.when(role == r, v)), F.lit(0)).cast(MONEY)
     size = F.abs("amount")
     out = roled.groupBy(*KEY).agg(
         part("TAX", size).alias("tax"), part("ADDITIONAL_CHARGES", size).alias("charges"), part("ROUND_OFF", c("amount")).alias("round_off"),
-        part("DISCOUNT", size).alias("discount"), part("BASE_AMOUNT", size).alias("base_amount"),
-        F.min_by(F.when(role == "BASE_AMOUNT", c("ledger")), F.when(role == "BASE_AMOUNT", F.struct("line", "ledger"))).alias("base_ledger"))
+        part("DISCOUNT", size).alias("discount"), part("BASE_AMOUNT", size).alias("base_amount"))
     return out.withColumn("charge_load", (c("tax") + c("charges") + c("round_off") - c("discount")).cast(MONEY))
 
 
+def base_ledgers(roled: DataFrame, only: DataFrame) -> DataFrame:
+    """First base ledger of the vouchers in ``only`` (service vouchers, the only ones whose name it becomes)."""
+    rows = roled.filter(c("role") == "BASE_AMOUNT").join(only.select(*KEY), KEY, "left_semi")
+    return rows.groupBy(*KEY).agg(F.min_by("ledger", F.struct("line", "ledger")).alias("base_ledger"))
+
+
 def allocate_charges(lines: DataFrame, charges: DataFrame) -> DataFrame:
     """Spread each voucher's charge load over its lines by size (evenly when all lines are zero)."""
     totals = lines.groupBy(*KEY).agg(F.sum(F.abs("amount")).alias("_total"), F.count(F.lit(1)).alias("_lines"))
@@ -111,9 +119,9 @@ def allocate_charges(lines: DataFrame, charges: DataFrame) -> DataFrame:
     return joined.withColumn("line_share", share).withColumn("amount_with_charges", value).drop("_total", "_lines", "charge_load")
 
 
-def accounting_invoice_base(service: DataFrame, charges: DataFrame) -> DataFrame:
+def accounting_invoice_base(service: DataFrame, charges: DataFrame, roled: DataFrame) -> DataFrame:
     """Base value of vouchers without stock lines: their base ledgers, else the header amount (then without charges)."""
-    j = service.join(charges, KEY, "left")
+    j = service.join(charges, KEY, "left").join(base_ledgers(roled, service), KEY, "left")
     has_base = F.coalesce(c("base_amount"), F.lit(0)) != 0
     header = F.abs(F.coalesce("amount", F.lit(0)))
     return j.withColumn("base_value", F.when(has_base, c("base_amount")).otherwise(header).cast(MONEY)).withColumn(
@@ -172,17 +180,17 @@ def build_fact_sales(
     live = resolve_voucher_type(eligible_vouchers(vouchers).filter(~(c("is_cancelled") | c("is_optional"))), types).withColumn(
         "is_return", c("voucher_class") == "CREDIT_NOTE")
     head = live.select(*KEY, "voucher_number", "voucher_date", "party", "amount", "is_return", "voucher_class")
-    charges = voucher_charges(with_roles(ledger_lines, head))
+    roled = with_roles(ledger_lines, head)
+    charges = voucher_charges(roled)
     line_centre = ledger_lines.filter(c("cost_centre").isNotNull()).groupBy(*KEY).agg(
         F.min_by("cost_centre", F.struct("line", "cost_centre")).alias("_voucher_centre"))
 
     lines = allocate_charges(
         stock_lines.select(*KEY, "entry_id", "line", "item", "quantity", "unit", "rate", F.abs("amount").cast(MONEY).alias("amount"), "cost_centre"), charges)
     stock = lines.join(head.drop("amount"), KEY).withColumn("is_accounting_invoice", F.lit(False))
-    service = accounting_invoice_base(
-        head.join(stock_lines.select(*KEY), KEY, "left_anti").join(ledger_lines.select(*KEY), KEY, "left_semi").unionByName(
-            head.join(stock_lines.select(*KEY), KEY, "left_anti").join(ledger_lines.select(*KEY), KEY, "left_anti").filter(
-                F.coalesce("amount", F.lit(0)) != 0)), charges)
+    bare = head.join(stock_lines.select(*KEY), KEY, "left_anti").join(
+        ledger_lines.groupBy(*KEY).agg(F.lit(True).alias("_posted")), KEY, "left").filter(c("_posted") | (F.coalesce("amount", F.lit(0)) != 0)).drop("_posted")
+    service = accounting_invoice_base(bare, charges, roled)
     synthetic = service.select(
         *KEY, F.concat(c("voucher_id"), F.lit("#ACCT1")).alias("entry_id"), F.lit(1).cast("bigint").alias("line"), c("product").alias("item"),
         F.lit(1).cast("decimal(18,3)").alias("quantity"), F.lit("Service").alias("unit"), c("base_value").cast("string").alias("rate"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import resolve_voucher_type
 from ..functions.identity import name_key
-from .fact import KEY, with_roles
+from .fact import KEY, base_ledgers, with_roles
 from .ranking import rank_with_other
 
 c = F.col
@@ -38,8 +38,7 @@ def voucher_ledger_breakdown(roled: DataFrame) -> DataFrame:
     out = roled.groupBy(*KEY).agg(
         part("TAX_CGST").alias("cgst"), part("TAX_SGST").alias("sgst"), part("TAX_IGST").alias("igst"), _d(F.lit(0)).alias("utgst"),
         part("TAX_CESS").alias("cess"), part("TAX_OTHER").alias("other_tax"), part("ROUND_OFF").alias("round_off"),
-        part("DISCOUNT").alias("discount"), part("ADDITIONAL_CHARGES").alias("charges"), part("BASE_AMOUNT").alias("base"),
-        F.min_by(F.when(c("role") == "BASE_AMOUNT", c("ledger")), F.when(c("role") == "BASE_AMOUNT", F.struct("line", "ledger"))).alias("base_ledger"))
+        part("DISCOUNT").alias("discount"), part("ADDITIONAL_CHARGES").alias("charges"), part("BASE_AMOUNT").alias("base"))
     return out.withColumn("total_tax", c("cgst") + c("sgst") + c("igst") + c("utgst") + c("cess") + c("other_tax"))
 
 
@@ -119,7 +118,8 @@ def build_register(vouchers: DataFrame, stock_lines: DataFrame, ledger_lines: Da
     head, lines = register_filters(head, stock_lines, filters or Filters())
     sign = F.when(c("voucher_class") == returned, F.lit(-1)).otherwise(F.lit(1))
     head = head.withColumn("is_return", c("voucher_class") == returned).withColumn("sign", sign)
-    split = voucher_ledger_breakdown(with_roles(ledger_lines, head.select("company_id", "voucher_id", "party")))
+    roled = with_roles(ledger_lines, head.select("company_id", "voucher_id", "party"))
+    split = voucher_ledger_breakdown(roled)
     sums = lines.groupBy(*KEY).agg(F.sum("amount").alias("line_total"), F.sum(F.abs("amount")).alias("line_size"), F.count(F.lit(1)).alias("line_count"),
                                    F.sum(F.abs("quantity")).alias("line_quantity"))
     wide = head.join(split, KEY, "left").join(sums, KEY, "left").withColumn("has_items", c("line_count").isNotNull())
@@ -137,13 +137,14 @@ def build_register(vouchers: DataFrame, stock_lines: DataFrame, ledger_lines: Da
 
     extra = (c("charges") + c("round_off") - c("discount")).cast("double")
     ctx = wide.select(*KEY, "voucher_number", "voucher_class", "voucher_date", "party", "country", "state", "city", "city_confidence", "is_return", "sign",
-                      c("total_tax").cast("double").alias("_tax"), extra.alias("_extra"), "line_size", "line_count", "has_items", "net_unsigned", "base_ledger")
+                      c("total_tax").cast("double").alias("_tax"), extra.alias("_extra"), "line_size", "line_count", "has_items", "net_unsigned")
     share = F.when(c("line_size") == 0, 1.0 / c("line_count")).otherwise(F.abs("amount").cast("double") / F.when(c("line_size") != 0, c("line_size")).cast("double"))
     item_lines = lines.join(ctx, KEY).withColumn("_share", share).select(
         *_ctx_cols(), c("item").alias("product"), (c("sign") * F.abs("quantity")).cast("decimal(38,3)").alias("quantity"), "unit",
         (c("sign") * c("amount")).cast("decimal(38,2)").alias("amount"), F.round(c("sign") * c("_tax") * c("_share"), 2).alias("gst"),
         F.round(c("sign") * c("_extra") * c("_share"), 2).alias("charges"), F.lit(False).alias("is_accounting_invoice"))
-    service = ctx.filter(~c("has_items")).select(
+    bare = ctx.filter(~c("has_items"))
+    service = bare.join(base_ledgers(roled, bare), KEY, "left").select(
         *_ctx_cols(), F.coalesce("base_ledger", F.lit(SERVICE_PRODUCT)).alias("product"), F.lit(1).cast("decimal(38,3)").alias("quantity"), F.lit("Service").alias("unit"),
         (c("sign") * c("net_unsigned")).cast("decimal(38,2)").alias("amount"), F.round(c("sign") * c("_tax"), 2).alias("gst"),
         F.round(c("sign") * c("_extra"), 2).alias("charges"), F.lit(True).alias("is_accounting_invoice"))
