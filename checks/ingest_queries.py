@@ -35,7 +35,7 @@ def q(name: str, sql: str | None = None):
 def raw_vouchers(spark, sf):
     t = lambda n: table(spark, sf, n)
     # Partitioned by the join key up front: the given file is one split, and a large join needs this layout anyway.
-    li = t("lineitem").repartition("l_orderkey").join(t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"), c("l_orderkey") == c("o_orderkey")).join(
+    li = t("lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").join(t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"), c("l_orderkey") == c("o_orderkey")).join(
         t("customer").select("c_custkey", "c_name"), c("o_custkey") == c("c_custkey"), "left").join(
         t("part").select("p_partkey", "p_name"), c("l_partkey") == c("p_partkey"), "left").join(t("supplier").select("s_suppkey", "s_name"), c("l_suppkey") == c("s_suppkey"), "left")
     ext = c("l_extendedprice").cast(MONEY).cast("string")
