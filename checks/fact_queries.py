@@ -186,7 +186,7 @@ def _(spark, sf):
 def _(spark, sf):
     b = books(spark, sf)
     roled = ft.with_roles(b.ledger_lines, b.vouchers)
-    return ft.voucher_charges(roled).join(ft.base_ledgers(roled, b.vouchers), ft.KEY, "left").select(
+    return ft.voucher_charges(roled).join(ft.base_ledgers(b.ledger_lines, b.vouchers), ft.KEY, "left").select(
         "voucher_id", *dbl("tax", "charges", "round_off", "discount", "base_amount"), "base_ledger", *dbl("charge_load"))
 
 
@@ -196,8 +196,8 @@ def _(spark, sf):
 def _(spark, sf):
     b = books(spark, sf)
     service = b.vouchers.join(b.stock_lines.select("company_id", "voucher_id"), ft.KEY, "left_anti")
-    roled = ft.with_roles(b.ledger_lines, b.vouchers)
-    return ft.accounting_invoice_base(service, ft.voucher_charges(roled), roled).select("voucher_id", *dbl("base_value", "base_with_charges"), "product")
+    charges = ft.voucher_charges(ft.with_roles(b.ledger_lines, b.vouchers))
+    return ft.accounting_invoice_base(service, charges, b.ledger_lines).select("voucher_id", *dbl("base_value", "base_with_charges"), "product")
 
 
 @q("J05_resolve_salesman", _FACT + "SELECT salesman, count(*) AS rows, sum(amount)::DOUBLE AS amount FROM facts GROUP BY 1")

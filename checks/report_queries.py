@@ -39,7 +39,7 @@ def register(spark, sf, direction="SALES", filters=None):
     key = (spark.sparkContext.applicationId, sf, direction)
     if filters is None and key in _registers:
         return _registers[key]
-    reg = rg.build_register(b.vouchers, b.stock_lines, b.ledger_lines, b.types, ft.party_profile(b.ledgers), direction, filters)
+    reg = rg.build_register(b.vouchers, b.stock_lines, b.ledger_lines, b.types, ft.party_profile(b.ledgers), direction, filters, cache=filters is None)
     if filters is None:
         _registers[key] = reg.cached()
     return _registers[key] if filters is None else reg
@@ -67,7 +67,7 @@ rl AS (SELECT rv.voucher_id, voucher_number, voucher_date, party, country, state
 def _(spark, sf):
     b = books(spark, sf)
     roled = ft.with_roles(b.ledger_lines, b.vouchers)
-    out = rg.voucher_ledger_breakdown(roled).join(ft.base_ledgers(roled, b.vouchers), ft.KEY, "left")
+    out = rg.voucher_ledger_breakdown(roled).join(ft.base_ledgers(b.ledger_lines, b.vouchers), ft.KEY, "left")
     return out.select("voucher_id", "base_ledger", *[c(x).cast("double").alias(x) for x in out.columns if x not in ("company_id", "voucher_id", "base_ledger")])
 
 

@@ -103,9 +103,13 @@ def voucher_charges(roled: DataFrame) -> DataFrame:
     return out.withColumn("charge_load", (c("tax") + c("charges") + c("round_off") - c("discount")).cast(MONEY))
 
 
-def base_ledgers(roled: DataFrame, only: DataFrame) -> DataFrame:
-    """First base ledger of the vouchers in ``only`` (service vouchers, the only ones whose name it becomes)."""
-    rows = roled.filter(c("role") == "BASE_AMOUNT").join(only.select(*KEY), KEY, "left_semi")
+def base_ledgers(ledger_lines: DataFrame, only: DataFrame) -> DataFrame:
+    """First base ledger of the vouchers in ``only`` (service vouchers, the only ones whose name it becomes).
+
+    The lines are cut to those vouchers before any role is worked out.
+    """
+    lines = ledger_lines.join(only.select(*KEY), KEY, "left_semi")
+    rows = with_roles(lines, only).filter(c("role") == "BASE_AMOUNT")
     return rows.groupBy(*KEY).agg(F.min_by("ledger", F.struct("line", "ledger")).alias("base_ledger"))
 
 
@@ -119,9 +123,9 @@ def allocate_charges(lines: DataFrame, charges: DataFrame) -> DataFrame:
     return joined.withColumn("line_share", share).withColumn("amount_with_charges", value).drop("_total", "_lines", "charge_load")
 
 
-def accounting_invoice_base(service: DataFrame, charges: DataFrame, roled: DataFrame) -> DataFrame:
+def accounting_invoice_base(service: DataFrame, charges: DataFrame, ledger_lines: DataFrame) -> DataFrame:
     """Base value of vouchers without stock lines: their base ledgers, else the header amount (then without charges)."""
-    j = service.join(charges, KEY, "left").join(base_ledgers(roled, service), KEY, "left")
+    j = service.join(charges, KEY, "left").join(base_ledgers(ledger_lines, service), KEY, "left")
     has_base = F.coalesce(c("base_amount"), F.lit(0)) != 0
     header = F.abs(F.coalesce("amount", F.lit(0)))
     return j.withColumn("base_value", F.when(has_base, c("base_amount")).otherwise(header).cast(MONEY)).withColumn(
@@ -180,8 +184,7 @@ def build_fact_sales(
     live = resolve_voucher_type(eligible_vouchers(vouchers).filter(~(c("is_cancelled") | c("is_optional"))), types).withColumn(
         "is_return", c("voucher_class") == "CREDIT_NOTE")
     head = live.select(*KEY, "voucher_number", "voucher_date", "party", "amount", "is_return", "voucher_class")
-    roled = with_roles(ledger_lines, head)
-    charges = voucher_charges(roled)
+    charges = voucher_charges(with_roles(ledger_lines, head))
     line_centre = ledger_lines.filter(c("cost_centre").isNotNull()).groupBy(*KEY).agg(
         F.min_by("cost_centre", F.struct("line", "cost_centre")).alias("_voucher_centre"))
 
@@ -190,7 +193,7 @@ def build_fact_sales(
     stock = lines.join(head.drop("amount"), KEY).withColumn("is_accounting_invoice", F.lit(False))
     bare = head.join(stock_lines.select(*KEY), KEY, "left_anti").join(
         ledger_lines.groupBy(*KEY).agg(F.lit(True).alias("_posted")), KEY, "left").filter(c("_posted") | (F.coalesce("amount", F.lit(0)) != 0)).drop("_posted")
-    service = accounting_invoice_base(bare, charges, roled)
+    service = accounting_invoice_base(bare, charges, ledger_lines)
     synthetic = service.select(
         *KEY, F.concat(c("voucher_id"), F.lit("#ACCT1")).alias("entry_id"), F.lit(1).cast("bigint").alias("line"), c("product").alias("item"),
         F.lit(1).cast("decimal(18,3)").alias("quantity"), F.lit("Service").alias("unit"), c("base_value").cast("string").alias("rate"),

@@ -109,8 +109,11 @@ def _any_contains(cols: list[str], needle: str) -> Column:
 
 
 def build_register(vouchers: DataFrame, stock_lines: DataFrame, ledger_lines: DataFrame, types: DataFrame, profile: DataFrame,
-                   direction: str = "SALES", filters: Filters | None = None) -> Register:
-    """Normalise one direction: returns negative, taxes and charges spread over lines by size."""
+                   direction: str = "SALES", filters: Filters | None = None, cache: bool = False) -> Register:
+    """Normalise one direction: returns negative, taxes and charges spread over lines by size.
+
+    With ``cache`` the joined voucher frame, which both result frames stand on, is kept.
+    """
     normal, returned = DIRECTIONS[direction]
     live = resolve_voucher_type(vouchers.filter(~(c("is_cancelled") | c("is_optional"))), types).filter(c("voucher_class").isin(normal, returned))
     head = with_places(live, profile).select(*KEY, "voucher_number", "voucher_type", "voucher_class", "voucher_date", "party", "amount",
@@ -118,13 +121,13 @@ def build_register(vouchers: DataFrame, stock_lines: DataFrame, ledger_lines: Da
     head, lines = register_filters(head, stock_lines, filters or Filters())
     sign = F.when(c("voucher_class") == returned, F.lit(-1)).otherwise(F.lit(1))
     head = head.withColumn("is_return", c("voucher_class") == returned).withColumn("sign", sign)
-    roled = with_roles(ledger_lines, head.select("company_id", "voucher_id", "party"))
-    split = voucher_ledger_breakdown(roled)
+    split = voucher_ledger_breakdown(with_roles(ledger_lines, head.select("company_id", "voucher_id", "party")))
     sums = lines.groupBy(*KEY).agg(F.sum("amount").alias("line_total"), F.sum(F.abs("amount")).alias("line_size"), F.count(F.lit(1)).alias("line_count"),
                                    F.sum(F.abs("quantity")).alias("line_quantity"))
     wide = head.join(split, KEY, "left").join(sums, KEY, "left").withColumn("has_items", c("line_count").isNotNull())
     wide = wide.withColumns({x: _d(c(x)) for x in ("cgst", "sgst", "igst", "utgst", "cess", "other_tax", "round_off", "discount", "charges", "base",
                                                    "total_tax", "line_total", "amount")})
+    wide = wide.persist() if cache else wide
     service_base = F.when(c("base") == 0, c("amount") - c("total_tax") - c("charges")).otherwise(c("base"))
     wide = wide.withColumn("net_unsigned", F.when(c("has_items"), c("line_total")).otherwise(service_base))
     signed = lambda name: (c("sign") * c(name)).cast("decimal(38,2)").alias(name)
@@ -144,7 +147,7 @@ def build_register(vouchers: DataFrame, stock_lines: DataFrame, ledger_lines: Da
         (c("sign") * c("amount")).cast("decimal(38,2)").alias("amount"), F.round(c("sign") * c("_tax") * c("_share"), 2).alias("gst"),
         F.round(c("sign") * c("_extra") * c("_share"), 2).alias("charges"), F.lit(False).alias("is_accounting_invoice"))
     bare = ctx.filter(~c("has_items"))
-    service = bare.join(base_ledgers(roled, bare), KEY, "left").select(
+    service = bare.join(base_ledgers(ledger_lines, bare), KEY, "left").select(
         *_ctx_cols(), F.coalesce("base_ledger", F.lit(SERVICE_PRODUCT)).alias("product"), F.lit(1).cast("decimal(38,3)").alias("quantity"), F.lit("Service").alias("unit"),
         (c("sign") * c("net_unsigned")).cast("decimal(38,2)").alias("amount"), F.round(c("sign") * c("_tax"), 2).alias("gst"),
         F.round(c("sign") * c("_extra"), 2).alias("charges"), F.lit(True).alias("is_accounting_invoice"))
