@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import decontaminate, sharding
-from daybook.llm.common import table
+from daybook.llm import decontaminate, language, secrets, sharding
+from daybook.llm.common import held_out, table
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = language.learn_dictionaries(docs.where(~held_out()).select("text", "lang"))
+    return language.identify(docs.select("doc_id", "text"), learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def decontaminated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +28,8 @@ def size_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language_id": languages,
+    "op4_secret_scans": secret_spans,
     "op9_benchmark_decontamination": decontaminated_words,
     "op10_sharding": size_shards,
 }
