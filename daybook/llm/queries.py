@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import decontaminate, language, secrets, sharding
+from daybook.llm import decontaminate, language, packing, secrets, sharding, wavelet
 from daybook.llm.common import held_out, table
 
 
@@ -19,6 +19,20 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def decontaminated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +44,8 @@ def size_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_language_id": languages,
     "op4_secret_scans": secret_spans,
+    "op7_token_binary_output": token_shards,
+    "op8_best_fit_packing": packed,
     "op9_benchmark_decontamination": decontaminated_words,
     "op10_sharding": size_shards,
 }
