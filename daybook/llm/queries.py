@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import decontaminate, language, packing, secrets, sharding, wavelet
+from daybook.llm import decontaminate, language, packing, secrets, sharding, substrings, wavelet
 from daybook.llm.common import held_out, table
 
 
+def repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language.learn_dictionaries(docs.where(~held_out()).select("text", "lang"))
@@ -42,6 +46,7 @@ def size_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": repeats_removed,
     "op3_language_id": languages,
     "op4_secret_scans": secret_spans,
     "op7_token_binary_output": token_shards,
