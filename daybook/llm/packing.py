@@ -150,8 +150,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for i in range(0, len(frame), 200):
-                part = frame.iloc[i : i + 200]
+            for i in range(0, len(frame), 2000):
+                part = frame.iloc[i : i + 2000]
                 for doc_id, raw in zip(part.doc_id.astype("Int64"), tokens.encode(part.text, tokenizer, end_id), strict=True):
                     n = len(raw) // 4
                     stops = list(range(n % capacity or capacity, n + 1, capacity)) if n > capacity else [n]

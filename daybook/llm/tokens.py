@@ -13,7 +13,7 @@ import numpy as np
 
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Words remembered by a Python worker; further ones are encoded again in each batch that holds them.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -73,7 +73,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(texts, path: str, end_id: int = 0, step: int = 200) -> list[bytes]:
+def encode(texts, path: str, end_id: int = 0, step: int = 2000) -> list[bytes]:
     """Ids of each text (null: empty) followed by the end id, as little-endian unsigned 32-bit integers."""
     e, end, out = encoder(path), np.array([end_id], dtype="<u4").tobytes(), []
     texts = list(texts)

@@ -139,8 +139,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
             return pd.DataFrame([[part, seq, ids, [len(p) // 4 for p in parts], len(flat), WaveletMatrix.of(flat).to_bytes()]], columns=["part", "seq", "doc_ids", "lengths", "n_tokens", "payload"])
 
         for frame in frames:
-            for i in range(0, len(frame), 200):
-                rows = frame.iloc[i : i + 200]
+            for i in range(0, len(frame), 2000):
+                rows = frame.iloc[i : i + 2000]
                 for doc_id, raw in zip(rows.doc_id.astype("Int64"), tokens.encode(rows.text, tokenizer, end_id), strict=True):
                     if parts and held + len(raw) // 4 > shard_tokens:
                         yield shard()
