@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import decontaminate, language, packing, secrets, sharding, substrings, wavelet
+from daybook.llm import decontaminate, embeddings, jaccard, language, packing, quality, secrets, sharding, substrings, wavelet
 from daybook.llm.common import held_out, table
 
 
@@ -13,6 +13,10 @@ def repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language.learn_dictionaries(docs.where(~held_out()).select("text", "lang"))
@@ -23,6 +27,17 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.join(table(spark, sf_dir, "embeddings"))
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
+    known = docs.where(~held_out()).join(judged, "doc_id", "left").select("text", "quality")
+    return quality.scored(docs, quality.learn(known)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -47,8 +62,11 @@ def size_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array_dedup": repeats_removed,
+    "op2_ngram_jaccard_join": jaccard_components,
     "op3_language_id": languages,
     "op4_secret_scans": secret_spans,
+    "op5_embedding_near_dedup": vector_links,
+    "op6_quality_classifier": quality_scores,
     "op7_token_binary_output": token_shards,
     "op8_best_fit_packing": packed,
     "op9_benchmark_decontamination": decontaminated_words,
