@@ -29,6 +29,7 @@ from daybook.llm.substrings import BYTE, M1, M2, _chunks, _slices, bitmap, is_se
 POWERS = np.array([pow(int(M1), i + 1, 1 << 64) for i in range(4096)], dtype=np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTERS = np.where(SPACE, np.uint64(0), BYTE)
 
 
 def shingles(text: str, k: int) -> np.ndarray:
@@ -38,14 +39,12 @@ def shingles(text: str, k: int) -> np.ndarray:
     starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
     if not len(starts):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(data)]]))) if not starts[0] else None
-    if place is None:
-        data, gap, starts = data[starts[0] :], gap[starts[0] :], starts - starts[0]
-        place = np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(data)]])))
-    value = BYTE[data] * POWERS[place % 4096]
-    if len(data) > 4096:
-        value = value * (np.uint64(2) * (place // 4096).astype(np.uint64) + np.uint64(1))
-    value[gap] = 0
+    data, starts = data[starts[0] :], (starts - starts[0]).astype(np.int32)
+    lengths = np.diff(starts, append=np.int32(len(data)))
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(starts, lengths)
+    value = LETTERS[data] * POWERS[place & 4095]
+    if lengths.max() > 4096:
+        value *= np.uint64(2) * (place >> 12).astype(np.uint64) + np.uint64(1)
     word = stir(np.add.reduceat(value, starts))
     n = len(word) - k + 1
     if n < 1:
@@ -53,7 +52,9 @@ def shingles(text: str, k: int) -> np.ndarray:
     out = word[:n] * POWERS[0]
     for i in range(1, k):
         out += word[i : i + n] * POWERS[i]
-    return np.unique(stir(out))
+    out = stir(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def set_id(s: np.ndarray) -> np.int64:
@@ -67,7 +68,8 @@ def prefix_of(s: np.ndarray, threshold: int, hot: np.ndarray) -> tuple[np.ndarra
     n = len(s)
     keep = n - -(-threshold * n // 100) + 1
     if len(hot):
-        s = np.concatenate([s[~(h := np.isin(s, hot, assume_unique=True))], s[h]])
+        h = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+        s = np.concatenate([s[~h], s[h]])
     return s[:keep], np.arange(min(keep, n), dtype=np.int32)
 
 
@@ -157,30 +159,38 @@ def join(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64, h
     c = F.col
     stars = lists.where((c("sid") != c("head.sid")) & reaches(c("n"), c("at"), c("head.n"), c("head.at"))).select(*pair(c("sid"), c("head.sid"))).distinct()
     stars = staged(stars, "head-pairs")
-    named = lists.select("sid").distinct()
-    wanted = context.broadcast(bitmap(named, lambda f: slots(f.sid.to_numpy(np.int64)), ["sid"]))
 
-    def packed(frames):
-        for f in _slices(frames):
-            held = []
-            for t, s in _sets(iter([f]), k):
-                sid = set_id(s)
-                if is_set(wanted.value, slots(np.array([sid]))).all():
-                    held.append((sid, zlib.compress(t.encode(), 1)))
-            yield pd.DataFrame(held, columns=["sid", "packed"])
-
-    texts = staged(read.mapInPandas(packed, "sid long, packed binary").dropDuplicates(["sid"]), "set-texts")
-    links = staged(linked_pairs(stars, texts, k, threshold), "links")
+    def packed_texts(pairs: DataFrame) -> DataFrame:
+        """sid, packed of every set that the pairs name, from another reading of the documents."""
+        named = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+        wanted = context.broadcast(bitmap(named, lambda f: slots(f.sid.to_numpy(np.int64)), ["sid"]))
+
+        def packed(frames):
+            for f in _slices(frames):
+                held = []
+                for t, s in _sets(iter([f]), k):
+                    sid = set_id(s)
+                    if is_set(wanted.value, slots(np.array([sid]))).all():
+                        held.append((sid, zlib.compress(t.encode(), 1)))
+                yield pd.DataFrame(held, columns=["sid", "packed"])
+
+        return staged(read.mapInPandas(packed, "sid long, packed binary").dropDuplicates(["sid"]), "set-texts")
+
+    links = staged(linked_pairs(stars, packed_texts(stars), k, threshold), "links")
     parts = components(links.select(c("a").alias("u"), c("b").alias("v")))
 
     # Lists whose sets are still in several components, compared pair by pair but for their heads.
     labelled = lists.join(parts, lists.sid == parts.node, "left").select("token", "sid", "n", "at", c("head.sid").alias("head"), F.coalesce("component", "sid").alias("part"))
     split = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
-    rest = staged(labelled.join(split, "token", "left_semi").where("sid != head"), "split-lists")
+    rest = staged(labelled.join(split, "token", "left_semi"), "split-lists")
     x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (c("x.token") == c("y.token")) & (c("x.sid") < c("y.sid")) & (c("x.part") != c("y.part")) & reaches(c("x.n"), c("x.at"), c("y.n"), c("y.at"))).select(
-        c("x.sid").alias("a"), c("y.sid").alias("b")).distinct()
-    found = staged(linked_pairs(more.join(stars, ["a", "b"], "left_anti"), texts, k, threshold), "more-links")
+    # Shingles that two prefixes share, and those behind the prefixes, must together reach the overlap asked for.
+    behind = lambda n: F.ceil(threshold * n / 100).cast("int") - 1
+    wide = (100 + threshold) * (F.col("shared") + F.greatest(behind(c("xn")), behind(c("yn")))) >= threshold * (c("xn") + c("yn"))
+    more = x.join(y, (c("x.token") == c("y.token")) & (c("x.sid") < c("y.sid")) & (c("x.part") != c("y.part")) & reaches(c("x.n"), c("x.at"), c("y.n"), c("y.at"))).groupBy(
+        c("x.sid").alias("a"), c("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn")).where(wide).select("a", "b")
+    more = staged(more.join(stars, ["a", "b"], "left_anti"), "more-pairs")
+    found = staged(linked_pairs(more, packed_texts(more), k, threshold), "more-links")
     if found.limit(1).count():
         parts = components(links.unionByName(found).select(c("a").alias("u"), c("b").alias("v")))
 
