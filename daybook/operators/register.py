@@ -19,7 +19,6 @@ from .ranking import rank_with_other
 c = F.col
 NO_COUNTRY, NO_STATE, NO_CITY, NO_PARTY = "(no country)", "(no state)", "(no city)", "(no party)"
 SERVICE_PRODUCT = "(Service / Accounting Invoice)"
-LIST_CAP = 500
 
 # Voucher classes of each register; the second one is its return.
 DIRECTIONS = {"SALES": ("SALES", "CREDIT_NOTE"), "PURCHASE": ("PURCHASE", "DEBIT_NOTE")}
