@@ -18,12 +18,13 @@ c = F.col
 def cdc_stream(source: DataFrame, mirror: Mirror, checkpoint: str, order: str = "alter_id", every: str | None = None) -> StreamingQuery:
     """Apply every micro-batch of ``source`` to the mirror (no tombstones).
 
-    The source offsets are the cursor; the batch id is the log version, so a batch that is
-    replayed after a failure overwrites its own delta. Runs until stopped every ``every``,
-    or once over what is there when no interval is given.
+    The source offsets are the cursor. The checkpoint's own id and the batch id name a batch, so one that is replayed
+    after a failure overwrites its own delta, and a stream with a new checkpoint writes after what is there. Runs until
+    stopped every ``every``, or once over what is there when no interval is given.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        mirror.apply(batch, batch_id, f"cdc-{batch_id}", order)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        mirror.apply(batch, batch_id, f"cdc-{batch_id}", order, writer=f"stream-{stream}")
 
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
@@ -47,8 +48,8 @@ def sync_run(spark: SparkSession, root: str, company: str, domains: dict[str, Da
             rows.append((run_id, company, name, "SKIPPED", 0, 0, 0, 0, None))
             continue
         try:
-            s = Mirror(spark, root, name).apply(frame, version, run_id, order, full_read=True).first().asDict()
-            rows.append((run_id, company, name, "SUCCESS", s["inserted"], s["updated"], s["unchanged"], s.get("tombstoned") or 0, s.get("refused")))
+            s = Mirror(spark, root, name).apply(frame, version, run_id, order, full_read=True, writer="sync").first().asDict()
+            rows.append((run_id, company, name, "SUCCESS", s["inserted"], s["updated"], s["unchanged"], s["tombstoned"], s["refused"]))
         except Exception as e:  # noqa: BLE001 - the run goes on with the next domain
             rows.append((run_id, company, name, "FAILED", 0, 0, 0, 0, type(e).__name__))
     done = [r for r in rows if r[3] != "SKIPPED"]

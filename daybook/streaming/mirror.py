@@ -1,8 +1,9 @@
 """The mirror: an append-only change log per domain, read back as its latest state.
 
-Layout: ``<root>/<domain>/kind=base|delta/version=<n>``. A batch writes only the rows it
-changed, as ``version = batch id`` in overwrite mode, so a replayed batch rewrites the
-same folder and nothing else. State is the latest row per key over the newest base and
+Layout: ``<root>/<domain>/kind=base|delta/version=<n>``. Every batch of a writer (a stream's
+checkpoint, the sync runs) takes the next version when it is first applied and keeps it in
+``<root>/_batches/<domain>``; only a replay of the same writer and batch overwrites its folder.
+A domain has one writer at a time. State is the latest row per key over the newest base and
 the deltas after it; ``compact`` folds them into a new base. The event feed is the delta.
 """
 
@@ -120,34 +121,53 @@ class Mirror:
     """One domain's change log under a shared folder."""
 
     def __init__(self, spark: SparkSession, root: str, domain: str):
-        self.spark, self.domain, self.path = spark, domain, f"{root.rstrip('/')}/{domain}"
+        self.spark, self.root, self.domain = spark, root.rstrip("/"), domain
+        self.path = f"{self.root}/{domain}"
 
-    def log(self) -> DataFrame | None:
-        """Rows of the newest base and of the deltas after it; None while nothing was written."""
+    def log(self, before: int | None = None) -> DataFrame | None:
+        """Rows of the newest base and of the deltas after it, as they were ``before`` a version; None while there are none."""
         try:
-            all_rows = self.spark.read.option("basePath", self.path).option("mergeSchema", True).parquet(self.path)
+            rows = self.spark.read.option("basePath", self.path).option("mergeSchema", True).parquet(self.path)
         except AnalysisException:
             return None
-        base = all_rows.filter(c("kind") == "base").agg(F.max("version")).first()[0]
+        if before is not None:
+            rows = rows.filter(c("version") < before)
+            if rows.isEmpty():
+                return None
+        base = rows.filter(c("kind") == "base").agg(F.max("version")).first()[0]
         if base is None:
-            return all_rows.filter(c("kind") == "delta")
-        return all_rows.filter(((c("kind") == "base") & (c("version") == base)) | ((c("kind") == "delta") & (c("version") > base)))
+            return rows.filter(c("kind") == "delta")
+        return rows.filter(((c("kind") == "base") & (c("version") == base)) | ((c("kind") == "delta") & (c("version") > base)))
 
-    def state(self) -> DataFrame | None:
+    def state(self, before: int | None = None) -> DataFrame | None:
         """Latest row per key. A key's history is folded by aggregation, so a hot key is not gathered in one task."""
-        log = self.log()
+        log = self.log(before)
         if log is None:
             return None
         rest = [x for x in log.columns if x not in [*KEY, "kind", "version"]]
         latest = log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), c("version")).alias("_r"))
         return latest.select(*KEY, "_r.*")
 
+    def version_of(self, batch: int, writer: str) -> int:
+        """The version of a batch: the one it had before, else one after all others (its own number where that is free)."""
+        folder = f"{self.root}/_batches/{self.domain}"
+        try:
+            known = self.spark.read.parquet(folder).agg(F.max(F.when((c("writer") == writer) & (c("batch") == batch), c("version"))), F.max("version")).first()
+        except AnalysisException:
+            known = (None, None)
+        if known[0] is not None:
+            return known[0]
+        last = known[1]
+        version = batch if last is None else max(batch, last + 1)
+        self.spark.createDataFrame([(writer, batch, version)], "writer string, batch bigint, version bigint").coalesce(1).write.mode("append").parquet(folder)
+        return version
+
     def write_delta(self, changes: DataFrame, version: int) -> None:
         changes.write.mode("overwrite").parquet(f"{self.path}/kind=delta/version={version}")
 
     def compact(self, version: int) -> None:
         """Fold everything up to ``version`` into a new base."""
-        state = self.state()
+        state = self.state(version + 1)
         if state is not None:
             state.write.mode("overwrite").parquet(f"{self.path}/kind=base/version={version}")
 
@@ -158,9 +178,13 @@ class Mirror:
             return None
         return rows.filter((c("kind") == "delta") & c("change").isin("INSERT", "UPDATE", "DELETE")).select(*KEY, "change", "content_hash", "version")
 
-    def apply(self, batch: DataFrame, version: int, run_id: str, order: str = "alter_id", full_read: bool = False) -> DataFrame:
-        """Upsert a batch (and, after a full read, tombstone what vanished). Returns the stats row."""
-        state = self._state_before(version)
+    def apply(self, batch: DataFrame, number: int, run_id: str, order: str = "alter_id", full_read: bool = False, writer: str = "") -> DataFrame:
+        """Upsert batch ``number`` of a writer (and, after a full read, tombstone what vanished). Returns the stats row.
+
+        A replay is classified against the state that the batch met the first time, whatever was written or compacted since.
+        """
+        version = self.version_of(number, writer)
+        state = self.state(before=version)
         if state is None:
             fresh = with_hash(latest_per_key(batch, order))
             classified = fresh.withColumn("change", F.lit("INSERT")).withColumn("is_deleted", F.lit(False)).withColumn(
@@ -168,27 +192,18 @@ class Mirror:
         else:
             classified = upsert_by_hash(state, batch, run_id, order)
         classified = classified.persist()
-        stats = upsert_stats(classified).persist()
-        stats.count()
+        stats = upsert_stats(classified).first()
         rows = classified.filter(c("change") != "UNCHANGED")
+        tombstoned, refused = 0, None
         if full_read and state is not None:
             gone = tombstone_missing(state, batch, run_id)
-            stats = stats.withColumn("tombstoned", F.lit(0 if gone.refused else gone.vanished)).withColumn("refused", F.lit(gone.refused))
+            tombstoned, refused = (0 if gone.refused else gone.vanished), gone.refused
             rows = rows.unionByName(gone.rows.select(*rows.columns))
         self.write_delta(rows, version)
         classified.unpersist()
-        return stats
-
-    def _state_before(self, version: int) -> DataFrame | None:
-        """State without the batch being (re)applied, so that a replay classifies rows as it did the first time."""
-        log = self.log()
-        if log is None:
-            return None
-        earlier = log.filter((c("kind") == "base") | (c("version") < version))
-        if not earlier.limit(1).count():
-            return None
-        rest = [x for x in log.columns if x not in [*KEY, "kind", "version"]]
-        return earlier.groupBy(*KEY).agg(F.max_by(F.struct(*rest), c("version")).alias("_r")).select(*KEY, "_r.*")
+        skipped = skipped_without_id(batch).count()
+        return self.spark.createDataFrame([(*stats, skipped, tombstoned, refused)],
+                                          "total bigint, inserted bigint, updated bigint, unchanged bigint, skipped bigint, tombstoned bigint, refused string")
 
 
 def scan_mirror_vouchers(state: DataFrame, company: str, start=None, end=None) -> DataFrame:

@@ -81,6 +81,35 @@ def test_stream_from_a_landing_folder(spark, tmp_path):
     assert {(r["source_object_id"], r["change"]) for r in m.events().filter("version = 1").collect()} == {("b", "UPDATE"), ("c", "INSERT")}
 
 
+def test_streams_and_syncs_write_one_after_another(spark, tmp_path):
+    landing, root = tmp_path / "in", tmp_path / "mirror"
+    landing.mkdir()
+    put = lambda name, rows: (landing / name).write_text("\n".join(json.dumps(dict(zip(("company_id", "source_object_id", "guid", "name", "alter_id"), ("CO1", k, k, n, v)))) for k, n, v in rows))
+    schema = batch(spark, []).schema
+    m = Mirror(spark, str(root), "ledgers")
+    run = lambda ckpt: cdc.cdc_stream(cdc.landing_stream(spark, str(landing), schema), m, str(tmp_path / ckpt)).awaitTermination()
+    put("1.json", [("a", "A", 1), ("b", "B", 1)])
+    run("one")
+    put("2.json", [("c", "C", 1)])
+    run("two")
+    assert names(m) == {"a": "A", "b": "B", "c": "C"}, "batch 0 of a new checkpoint does not replace batch 0 of the old one"
+    cdc.sync_run(spark, str(root), "CO1", {"ledgers": batch(spark, [("a", "new", 5), ("b", "B", 1), ("c", "C", 1)])}, 5)
+    put("3.json", [("a", "newest", 9)])
+    run("two")
+    assert names(m)["a"] == "newest"
+
+
+def test_replay_after_compaction_keeps_the_events(spark, tmp_path):
+    m = Mirror(spark, str(tmp_path), "v")
+    m.apply(batch(spark, [("a", "A", 1), ("b", "B", 1)]), 1, "r1")
+    m.apply(batch(spark, [("a", "A2", 2)]), 2, "r2")
+    before, events = names(m), m.events().count()
+    m.compact(2)
+    again = m.apply(batch(spark, [("a", "A2", 2)]), 2, "r2").first()
+    assert again["updated"] == 1 and m.events().count() == events and names(m) == before
+    assert m.apply(batch(spark, [("a", "A2", 2), (None, "no id", 2)]), 3, "r3").first()["skipped"] == 1
+
+
 def test_sync_run_goes_on_after_a_failed_domain(spark, tmp_path):
     good = batch(spark, [("a", "A", 1)])
     log = cdc.sync_run(spark, str(tmp_path), "CO1", {"vouchers": good, "units": None, "ledgers": good.drop("alter_id")}, 1)
