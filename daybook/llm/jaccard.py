@@ -1,15 +1,16 @@
 """Exact Jaccard self-join of word-shingle sets by set relations.
 
 *Index.* A set files itself under its first shingles in one global order, as many as make sure that two similar sets
-share one; very frequent shingles come last in that order. A posting carries the set's size and the shingle's position
-in it, and whole blocks of a list are skipped by size and position: what is left after the position cannot reach the
-overlap asked for.
+share one; frequent shingles come last in that order, the most frequent at its end. A posting carries the set's size and
+the shingle's position in it, and whole blocks of a list are skipped by size and position: what is left from the position
+on cannot reach the overlap asked for.
 
 *Answers.* Equal sets are one. In each list the first set is compared with the others, and what it answers holds for
 its whole component: sets that it links need no comparison with each other. Only sets of a list whose components still
 differ afterwards are compared pair by pair, so a group of thousands of near copies costs a few comparisons for each.
 
-Texts are read again rather than shuffled; bitmaps of a fixed size say which are worth emitting.
+Texts are shingled once; the first shingles of each are kept. Texts are read again rather than shuffled where they
+hold frequent shingles or belong to a candidate pair; bitmaps of a fixed size say which.
 """
 
 from __future__ import annotations
@@ -63,30 +64,49 @@ def set_id(s: np.ndarray) -> np.int64:
     return stir(np.add.reduce(stir(s + i * M2), keepdims=True) + np.uint64(len(s))).view(np.int64)[0]
 
 
-def prefix_of(s: np.ndarray, threshold: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, positions) to file a set under: hot ones last, then by identifier."""
-    n = len(s)
-    keep = n - -(-threshold * n // 100) + 1
-    if len(hot):
-        h = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-        s = np.concatenate([s[~h], s[h]])
-    return s[:keep], np.arange(min(keep, n), dtype=np.int32)
+def first_of(s: np.ndarray, threshold: int) -> int:
+    """Number of shingles that a set files itself under, whatever the order."""
+    return len(s) - -(-threshold * len(s) // 100) + 1 if len(s) else 0
 
 
-def _sets(frames: Iterator[pd.DataFrame], k: int):
-    for f in _slices(frames):
-        for t in f.text:
-            if len(s := shingles(t, k)):
-                yield t, s
+def hot_places(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``s`` are frequent, the ranks of those); ``hot`` has sorted identifiers and their ranks, rarest first."""
+    ids, ranks = hot
+    if not len(ids):
+        return np.zeros(len(s), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(ids, s), len(ids) - 1)
+    found = ids[at] == s
+    return found, ranks[at[found]]
+
+
+def ordered(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set in the global order: by identifier, then the frequent ones from rare to common."""
+    found, ranks = hot_places(s, hot)
+    return np.concatenate([s[~found], s[found][np.argsort(ranks)]])
 
 
 def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; ``texts`` (sid, packed) has every set named."""
     def f(batches):
+        held, room = {}, 1 << 22  # shingles kept for pairs that name the same set again
+
+        def of(sid, packed):
+            nonlocal room
+            if sid not in held:
+                s = shingles(zlib.decompress(packed).decode(), k)
+                room -= len(s)
+                if room < 0:
+                    held.clear()
+                    room = (1 << 22) - len(s)
+                held[sid] = s
+            return held[sid]
+
         for frame in batches:
-            a, b = ([shingles(zlib.decompress(x).decode(), k) for x in frame[c]] for c in ("one", "two"))
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
-            ok = [100 * n >= threshold * (len(x) + len(y) - n) for n, x, y in zip(both, a, b, strict=True)]
+            ok = []
+            for a, b, one, two in zip(frame.a, frame.b, frame.one, frame.two, strict=True):
+                x, y = of(a, one), of(b, two)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * n >= threshold * (len(x) + len(y) - n))
             yield frame.loc[ok, ["a", "b"]]
 
     one, two = texts.select(F.col("sid").alias("a"), F.col("packed").alias("one")), texts.select(F.col("sid").alias("b"), F.col("packed").alias("two"))
@@ -103,56 +123,76 @@ def join(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64, h
     they change the work, not the result.
     """
     context = docs.sparkSession.sparkContext
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    read = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_id"))
 
     def sized(frames):
         for f in _slices(frames):
             sets = [shingles(t, k) for t in f.text]
-            yield pd.DataFrame({"doc_id": f.doc_id.astype("Int64"), "sid": pd.array([set_id(s) if len(s) else None for s in sets], "Int64"), "n_shingles": [len(s) for s in sets]})
-
-    rows = staged(read.mapInPandas(sized, "doc_id long, sid long, n_shingles long"), "sets")
-    nothing = np.zeros(0, np.uint64)
-
-    def first_order(frames):
-        yield from _chunks(((0, prefix_of(s, threshold, nothing)[0].view(np.int64)) for _, s in _sets(frames, k)), ["key", "token"])
+            yield pd.DataFrame({"doc_id": f.doc_id.astype("Int64"), "text_id": f.text_id, "sid": pd.array([set_id(s) if len(s) else None for s in sets], "Int64"),
+                                "n_shingles": [len(s) for s in sets], "first": [s[: first_of(s, threshold)].view(np.int64) for s in sets]})
 
-    counted = staged(read.mapInPandas(first_order, "key long, token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "repeated-shingles")
+    rows = staged(read.mapInPandas(sized, "doc_id long, text_id long, sid long, n_shingles long, first array<long>"), "sets")
+    counted = staged(rows.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "repeated-shingles")
     most = counted.where(F.col("n") >= hot_from).orderBy(F.desc("n"), "token").limit(hot_most).collect()
-    hot = context.broadcast(np.sort(np.array([r.token for r in most], np.int64).view(np.uint64)))
+    ids, ranks = np.array([r.token for r in most], np.int64).view(np.uint64), np.arange(len(most))[::-1]
+    by_id = np.argsort(ids)
+    hot = context.broadcast((ids[by_id], ranks[by_id]))
     of_token = lambda f: slots(f.token.to_numpy(np.int64))
     seen = bitmap(counted, of_token, ["token"])
-
-    def moved_up(frames):
-        """Shingles that are in a prefix only because hot ones gave way."""
-        def tokens():
-            for _, s in _sets(frames, k):
-                new = np.setdiff1d(prefix_of(s, threshold, hot.value)[0], prefix_of(s, threshold, nothing)[0], assume_unique=True)
-                if len(new):
-                    yield 0, new.view(np.int64)
-        yield from _chunks(tokens(), ["key", "token"])
+    refiled = None
 
     if most:
-        seen = seen | bitmap(read.mapInPandas(moved_up, "key long, token long"), of_token, ["token"])
+        def crowded(frames):
+            """Texts with a frequent shingle among their first."""
+            for f in frames:
+                yield f.loc[[hot_places(x.view(np.uint64), hot.value)[0].any() for x in f["first"]], ["text_id"]]
+
+        of_text = lambda f: slots(f.text_id.to_numpy(np.int64))
+        again = context.broadcast(bitmap(rows.select("text_id", "first").mapInPandas(crowded, "text_id long"), of_text, ["text_id"]))
+
+        def refile(frames):
+            """The first shingles of those texts in the global order, and which of them were not there before."""
+            for f in _slices(frames):
+                out = []
+                for t in f.text[is_set(again.value, of_text(f))]:
+                    s = shingles(t, k)
+                    n = first_of(s, threshold)
+                    if hot_places(s[:n], hot.value)[0].any():
+                        tokens = ordered(s, hot.value)[:n]
+                        out.append((set_id(s), len(s), tokens.view(np.int64), tokens[tokens > s[n - 1]].view(np.int64)))
+                yield pd.DataFrame(out, columns=["sid", "n_shingles", "first", "moved"])
+
+        refiled = staged(read.select("text", "text_id").mapInPandas(refile, "sid long, n_shingles long, first array<long>, moved array<long>"), "refiled-sets")
+        seen = seen | bitmap(refiled.select(F.explode("moved").alias("token")), of_token, ["token"])
     likely = context.broadcast(seen)
 
     def post(frames):
         def postings():
-            for _, s in _sets(frames, k):
-                token, at = prefix_of(s, threshold, hot.value)
-                keep = is_set(likely.value, slots(token.view(np.int64)))
-                if keep.any():
-                    yield set_id(s), np.full(keep.sum(), len(s), np.int32), token[keep].view(np.int64), at[keep]
+            for f in frames:
+                for sid, n, first, final in zip(f.sid, f.n_shingles, f["first"], f.final, strict=True):
+                    if not final and hot_places(first.view(np.uint64), hot.value)[0].any():
+                        continue  # filed anew
+                    at = np.flatnonzero(is_set(likely.value, slots(first)))
+                    if len(at):
+                        yield sid, np.full(len(at), n, np.int32), first[at], at.astype(np.int32)
         yield from _chunks(postings(), ["sid", "n", "token", "at"])
 
-    filed = read.mapInPandas(post, "sid long, n int, token long, at int").distinct()
+    filing = rows.where("sid is not null").select("sid", "n_shingles", "first", F.lit(False).alias("final"))
+    if refiled is not None:
+        filing = filing.unionByName(refiled.select("sid", "n_shingles", "first", F.lit(True).alias("final")))
+    filed = filing.mapInPandas(post, "sid long, n int, token long, at int").distinct()
     # One pass over a list: its first set, and whether there is another.
     filed = staged(filed, "postings")
     heads = filed.groupBy("token").agg(F.min(F.struct("n", "sid", "at")).alias("head"), F.count("*").alias("sets")).where("sets > 1").select("token", "head")
     lists = staged(filed.join(heads, "token").select("token", "sid", "n", "at", "head"), "lists")
 
-    def reaches(n1, at1, n2, at2):
-        """Size and position leave room for the overlap that the threshold asks for."""
-        room = F.least(n1 - at1, n2 - at2) + F.least(at1, at2)
+    def reaches(n1, at1, n2, at2, before=False):
+        """Size and position leave room for the overlap that the threshold asks for, if shingles ``before`` may be shared too.
+
+        Without those, the first one that a linked pair shares always passes, and both sets are filed under it.
+        """
+        room = F.least(n1 - at1, n2 - at2) + (F.least(at1, at2) if before else 0)
         return (100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2)) & ((100 + threshold) * room >= threshold * (n1 + n2))
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -162,19 +202,18 @@ def join(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64, h
 
     def packed_texts(pairs: DataFrame) -> DataFrame:
         """sid, packed of every set that the pairs name, from another reading of the documents."""
-        named = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-        wanted = context.broadcast(bitmap(named, lambda f: slots(f.sid.to_numpy(np.int64)), ["sid"]))
+        sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        named = staged(rows.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("text_id").alias("text_id")), "named-sets")
+        of_text = lambda f: slots(f.text_id.to_numpy(np.int64))
+        wanted = context.broadcast(bitmap(named, of_text, ["text_id"]))
 
         def packed(frames):
             for f in _slices(frames):
-                held = []
-                for t, s in _sets(iter([f]), k):
-                    sid = set_id(s)
-                    if is_set(wanted.value, slots(np.array([sid]))).all():
-                        held.append((sid, zlib.compress(t.encode(), 1)))
-                yield pd.DataFrame(held, columns=["sid", "packed"])
+                f = f[is_set(wanted.value, of_text(f))]
+                yield pd.DataFrame({"text_id": f.text_id, "packed": [zlib.compress(t.encode(), 1) for t in f.text]})
 
-        return staged(read.mapInPandas(packed, "sid long, packed binary").dropDuplicates(["sid"]), "set-texts")
+        taken = read.select("text_id", "text").mapInPandas(packed, "text_id long, packed binary").dropDuplicates(["text_id"])
+        return staged(taken.join(named, "text_id").select("sid", "packed"), "set-texts")
 
     links = staged(linked_pairs(stars, packed_texts(stars), k, threshold), "links")
     parts = components(links.select(c("a").alias("u"), c("b").alias("v")))
@@ -186,9 +225,10 @@ def join(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64, h
     x, y = rest.alias("x"), rest.alias("y")
     # Shingles that two prefixes share, and those behind the prefixes, must together reach the overlap asked for.
     behind = lambda n: F.ceil(threshold * n / 100).cast("int") - 1
-    wide = (100 + threshold) * (F.col("shared") + F.greatest(behind(c("xn")), behind(c("yn")))) >= threshold * (c("xn") + c("yn"))
-    more = x.join(y, (c("x.token") == c("y.token")) & (c("x.sid") < c("y.sid")) & (c("x.part") != c("y.part")) & reaches(c("x.n"), c("x.at"), c("y.n"), c("y.at"))).groupBy(
-        c("x.sid").alias("a"), c("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn")).where(wide).select("a", "b")
+    wide = (100 + threshold) * (c("shared") + F.greatest(behind(c("xn")), behind(c("yn")))) >= threshold * (c("xn") + c("yn"))
+    places = (c("x.n"), c("x.at"), c("y.n"), c("y.at"))
+    more = x.join(y, (c("x.token") == c("y.token")) & (c("x.sid") < c("y.sid")) & (c("x.part") != c("y.part")) & reaches(*places, before=True)).groupBy(
+        c("x.sid").alias("a"), c("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn"), F.max(reaches(*places)).alias("first")).where(wide & c("first")).select("a", "b")
     more = staged(more.join(stars, ["a", "b"], "left_anti"), "more-pairs")
     found = staged(linked_pairs(more, packed_texts(more), k, threshold), "more-links")
     if found.limit(1).count():
