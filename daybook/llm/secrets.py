@@ -2,16 +2,20 @@
 
 A worklist starts with the text itself. Each layer is scanned; then URL escapes, Unicode escapes, base64 runs and
 compressed payloads in it are unwrapped into new layers, until nothing new appears. Layers already seen (a payload that
-unwraps to itself) are left out by digest. Every layer carries a map of its characters to spans of the original text.
+unwraps to itself) are left out by digest. Every layer carries a map of its bytes to spans of the original text.
+
+A layer is kept as bytes, whatever they are. All patterns are ASCII, so one byte for each character (Latin-1, "?" for
+the others) is enough for the text itself, and UTF-8 and Latin-1 payloads need no decoding.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
+import mmap
 import re
+import tempfile
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -22,31 +26,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
-ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
-HEX = re.compile(r"[0-9a-f]{24,}")
-URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)")
-BASE64_RUN = re.compile(r"(?:[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,})={0,2}")
-MAX_LAYER_BYTES = 64 << 20
-
-
-def scan(text: str) -> list[tuple[int, int, int]]:
+ASSIGN = re.compile(rb"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
+ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(rb"[0-9a-f]{24,}")
+URL_RUN = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
+UNICODE_RUN = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(rb"\\[uUx]([0-9A-Fa-f]+)")
+#: Both alphabets, with the line breaks of wrapped base64. The second form finds runs whose first line is short.
+BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\t\x20]*[A-Za-z0-9+/_-]++)*+={0,2}")
+WRAPPED_RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,15}+(?:\r?\n[\t\x20]*[A-Za-z0-9+/_-]++)++={0,2}")
+BREAK = re.compile(rb"\r?\n[\t\x20]*")
+STANDARD = bytes.maketrans(b"-_", b"+/")
+#: What base64 decodes to at a wrong phase has no such stretch; no secret and nothing that can be unwrapped is shorter.
+STRETCH = re.compile(rb"[\x00\t\n\r\x20-\x7e]{8,}")
+_ZLIB = b"|".join(re.escape(bytes((c, f))) for c in range(0x08, 0x79, 0x10) for f in range(256) if not f & 0x20 and (c * 256 + f) % 31 == 0)
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x28\xb5\x2f\xfd|" + _ZLIB, re.DOTALL)
+#: Compressed bytes are read in pieces of this size. Layers above the second size are kept in a temporary file.
+PIECE, IN_MEMORY = 1024, 64 << 20
+
+
+def scan(text: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) of one layer, leftmost and non-overlapping within a kind."""
     found = []
-    if ":" in text or "=" in text:
+    if text.find(b":") >= 0 or text.find(b"=") >= 0:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-    if "AKIA" in text:
+    if text.find(b"AKIA") >= 0:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return found
 
 
 class Layer:
-    """A text with pieces (start in the text, original start, original end, whether its characters map one to one)."""
+    """Bytes with pieces (start in the bytes, original start, original end, whether its bytes map one to one)."""
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]]):
+    def __init__(self, text: bytes | mmap.mmap, pieces: list[tuple[int, int, int, bool]]):
         self.text, self.pieces, self.starts = text, pieces, [p[0] for p in pieces]
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
@@ -54,7 +67,7 @@ class Layer:
         b = self.pieces[bisect_right(self.starts, end - 1) - 1]
         return a[1] + (start - a[0]) * a[3], b[1] + end - b[0] if b[3] else b[2]
 
-    def rewritten(self, runs: list[tuple[int, int, str]]) -> Layer:
+    def rewritten(self, runs: list[tuple[int, int, bytes]]) -> Layer:
         """The layer with runs (start, end, replacement) put in; a replaced run maps as a whole."""
         parts, pieces, size, at = [], [], 0, 0
 
@@ -78,72 +91,151 @@ class Layer:
                 size += len(new)
             at = end
         keep(len(self.text))
-        return Layer("".join(parts), pieces)
+        return Layer(b"".join(parts), pieces)
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+def _opened(raw: bytes | memoryview, at: int):
+    if raw[at : at + 2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[at : at + 3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[at : at + 4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
+    return zlib.decompressobj(15)
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """One compressed layer taken off; None if it is none, is broken or exceeds MAX_LAYER_BYTES."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            d = zlib.decompressobj(47)
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor(max_window_size=MAX_LAYER_BYTES).stream_reader(raw).read(MAX_LAYER_BYTES)
+class _Joined:
+    """Bytes put together piece by piece, in a temporary file once they are many."""
+
+    def __init__(self):
+        self.parts, self.size, self.file = [], 0, None
+
+    def add(self, part: bytes) -> None:
+        self.size += len(part)
+        if self.file is None and self.size > IN_MEMORY:
+            self.file = tempfile.TemporaryFile()
+            self.file.writelines(self.parts)
+            self.parts = []
+        if self.file is None:
+            self.parts.append(part)
         else:
-            return None
-        out = d.decompress(raw, MAX_LAYER_BYTES)
-        return out if d.eof else None
-    except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
-        return None
+            self.file.write(part)
+
+    def value(self) -> bytes | mmap.mmap:
+        if self.file is None:
+            return b"".join(self.parts)
+        self.file.flush()
+        with self.file:
+            return mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
 
 
-def _payload(run: str) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _unpacked(raw: bytes | mmap.mmap, at: int) -> tuple[int, bytes | mmap.mmap]:
+    """Where the compressed stream that starts at a place ends, and what is in it; of a broken stream, what comes before the break."""
+    out = _Joined()
+    d, end = _opened(raw, at), at
     try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while (inner := _unpacked(raw)) is not None and hashlib.sha256(inner).digest() not in seen:
-        seen.add(hashlib.sha256(inner).digest())
-        raw = inner
-    return _readable(raw)
+        while end < len(raw) and not d.eof:
+            piece = raw[end : end + PIECE]
+            out.add(d.decompress(piece))
+            end += len(piece) - len(d.unused_data)
+    except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+        end = at + 1
+    return end, out.value()
+
+
+def _packed(layer: Layer) -> Iterator[Layer]:
+    """What the compressed streams of a layer hold, wherever they start."""
+    at = 0
+    while (m := PACKED.search(layer.text, at)) is not None:
+        at, inner = _unpacked(layer.text, m.start())
+        at = max(at, m.start() + 1)
+        if inner:
+            yield Layer(inner, [(0, *layer.origin(m.start(), at), False)])
+
+
+def _decoded(layer: Layer, start: int, end: int) -> Iterator[Layer]:
+    """The base64 run of a layer, read in each of the four phases: a payload behind other characters of the alphabet
+    is in one of them. What is no clean text maps stretch by stretch."""
+    run = bytes(layer.text[start:end]).rstrip(b"=")
+    breaks = [(m.start(), m.end()) for m in BREAK.finditer(run)]
+    body = BREAK.sub(b"", run).translate(STANDARD)
+    lost, starts, shifts = 0, [0], [start]
+    for a, b in breaks:
+        starts.append(a - lost)
+        lost += b - a
+        shifts.append(start + lost)
+
+    def place(k: int) -> int:
+        return k + shifts[bisect_right(starts, k) - 1]
+
+    for phase in range(4):
+        whole = body[phase:]
+        if len(whole) % 4 == 1:
+            whole = whole[:-1]
+        raw = binascii.a2b_base64(whole + b"=" * (-len(whole) % 4))
+        if STRETCH.search(raw) is None and PACKED.search(raw) is None:
+            continue
+
+        def span(a: int, b: int, phase: int = phase, n: int = len(raw)) -> tuple[int, int]:
+            return layer.origin(place(phase + a * 4 // 3), end if b == n else place(phase + -(-b * 4 // 3) - 1) + 1)
+
+        if _readable(raw):
+            yield Layer(raw, [(0, *span(0, len(raw)), False)])
+            continue
+        # Between stretches, and in compressed bytes, each block of three bytes maps to its four characters.
+        pieces, at = [], 0
+        for m in [*STRETCH.finditer(raw), None]:
+            upto = m.start() if m else len(raw)
+            pieces += [(k, *span(k, min(k + 3, upto)), False) for k in range(at, upto, 3)]
+            if m:
+                pieces.append((upto, *span(upto, m.end()), False))
+                at = m.end()
+        yield Layer(raw, pieces)
+
+
+def _readable(raw: bytes) -> bool:
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return sum(not (c.isprintable() or c in "\t\r\n") for c in text) * 20 <= len(text)
+
+
+def _characters(run: bytes) -> bytes:
+    """One byte for each escaped character; bytes that Python escaped as U+DC80 to U+DCFF are those bytes."""
+    codes = [int(x, 16) for x in ESCAPE.findall(run)]
+    return bytes(c if c < 0x100 else c - 0xDC00 if 0xDC80 <= c < 0xDD00 else 63 for c in codes)
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     text = layer.text
-    if "%" in text and (runs := [(m.start(), m.end(), bytes.fromhex(m[0].replace("%", "")).decode(errors="replace")) for m in URL_RUN.finditer(text)]):
+    yield from _packed(layer)
+    if text.find(b"%") >= 0 and (runs := [(m.start(), m.end(), bytes.fromhex(m[0].replace(b"%", b"").decode())) for m in URL_RUN.finditer(text)]):
         yield layer.rewritten(runs)
-    if "\\" in text and (runs := [(m.start(), m.end(), "".join(chr(c) if (c := int(x, 16)) < 0x110000 and not 0xD800 <= c < 0xE000 else "�" for x in ESCAPE.findall(m[0]))) for m in UNICODE_RUN.finditer(text)]):
+    if text.find(b"\\") >= 0 and (runs := [(m.start(), m.end(), _characters(m[0])) for m in UNICODE_RUN.finditer(text)]):
         yield layer.rewritten(runs)
     for m in BASE64_RUN.finditer(text):
-        if (inner := _payload(m[0])) is not None:
-            yield Layer(inner, [(0, *layer.origin(m.start(), m.end()), False)])
+        yield from _decoded(layer, m.start(), m.end())
+    if text.find(b"\n") >= 0:
+        for m in WRAPPED_RUN.finditer(text):
+            if m.end() - m.start() >= 16:
+                yield from _decoded(layer, m.start(), m.end())
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans), each sorted (start, kind, end) in code points of the text."""
-    text = text or ""
-    base = sorted(scan(text))
-    spans, seen, work = set(base), set(), [Layer(text, [(0, 0, len(text), True)])]
+    raw = (text or "").encode("latin-1", "replace")
+    base = sorted(scan(raw))
+    spans, seen, work = set(base), set(), [Layer(raw, [(0, 0, len(raw), True)])]
     while work:
         for inner in unwrapped(work.pop()):
-            digest = hashlib.sha256(inner.text.encode(errors="surrogatepass") + repr(inner.pieces[:1]).encode()).digest()
-            if inner.text == text or digest in seen or not inner.text:
+            if not inner.text:
+                continue
+            digest = hashlib.sha256(inner.text)
+            digest.update(repr((inner.pieces[0], inner.pieces[-1], len(inner.pieces))).encode())
+            if digest.digest() in seen:
                 continue
-            seen.add(digest)
+            seen.add(digest.digest())
             for start, kind, end in scan(inner.text):
                 a, b = inner.origin(start, end)
                 spans.add((a, kind, b))
@@ -168,7 +260,6 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null is the empty text: no spans. Rows are judged one by one; repeated rows and null ids pass through.
-    A payload that would unpack to more than MAX_LAYER_BYTES is taken as opaque.
     """
     judged = F.pandas_udf(_report, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return docs.select("doc_id", judged(F.col("text")).alias("_r")).select("doc_id", "_r.*")
