@@ -36,10 +36,16 @@ ESCAPE = re.compile(rb"\\[uUx]([0-9A-Fa-f]+)")
 BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\t\x20]*[A-Za-z0-9+/_-]++)*+={0,2}")
 WRAPPED_RUN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,15}+(?:\r?\n[\t\x20]*[A-Za-z0-9+/_-]++)++={0,2}")
 BREAK = re.compile(rb"\r?\n[\t\x20]*")
+#: String escapes of JSON, C and Python, as compressed bytes are written with them.
+ANY_ESCAPE = re.compile(rb"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|[0-7]{1,3}|[abefnrtv/\\\\\"'])")
+SHORT = dict(zip(b"abefnrtv", b"\a\b\x1b\f\n\r\t\v", strict=True))
+#: ASCII in UTF-16 or UTF-32 of either byte order.
+WIDE = re.compile(rb"[\x01-\x7f](?:\x00{1,3}[\x01-\x7f]){3,}")
 STANDARD = bytes.maketrans(b"-_", b"+/")
 #: What base64 decodes to at a wrong phase has no such stretch; no secret and nothing that can be unwrapped is shorter.
 STRETCH = re.compile(rb"[\x00\t\n\r\x20-\x7e]{8,}")
-_ZLIB = b"|".join(re.escape(bytes((c, f))) for c in range(0x08, 0x79, 0x10) for f in range(256) if not f & 0x20 and (c * 256 + f) % 31 == 0)
+#: Second bytes of a zlib head by its first one.
+_ZLIB = b"|".join(re.escape(bytes((c,))) + b"[" + b"".join(b"\\x%02x" % f for f in range(256) if not f & 0x20 and (c * 256 + f) % 31 == 0) + b"]" for c in range(0x08, 0x79, 0x10))
 PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\x28\xb5\x2f\xfd|" + _ZLIB, re.DOTALL)
 #: Compressed bytes are read in pieces of this size. Layers above the second size are kept in a temporary file.
 PIECE, IN_MEMORY = 1024, 64 << 20
@@ -130,17 +136,20 @@ class _Joined:
 
 
 def _unpacked(raw: bytes | mmap.mmap, at: int) -> tuple[int, bytes | mmap.mmap]:
-    """Where the compressed stream that starts at a place ends, and what is in it; of a broken stream, what comes before the break."""
-    out = _Joined()
-    d, end = _opened(raw, at), at
-    try:
-        while end < len(raw) and not d.eof:
-            piece = raw[end : end + PIECE]
-            out.add(d.decompress(piece))
-            end += len(piece) - len(d.unused_data)
-    except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
-        end = at + 1
-    return end, out.value()
+    """Where the compressed streams that start at a place end, and what is in them, members and frames that follow each
+    other joined; of a broken stream, what comes before the break."""
+    out, end = _Joined(), at
+    while True:
+        d, start = _opened(raw, end), end
+        try:
+            while end < len(raw) and not d.eof:
+                piece = raw[end : end + PIECE]
+                out.add(d.decompress(piece))
+                end += len(piece) - len(d.unused_data)
+        except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+            return (start if start > at else at + 1), out.value()
+        if end >= len(raw) or end == start or PACKED.match(raw, end) is None:
+            return end, out.value()
 
 
 def _packed(layer: Layer) -> Iterator[Layer]:
@@ -207,12 +216,28 @@ def _characters(run: bytes) -> bytes:
     return bytes(c if c < 0x100 else c - 0xDC00 if 0xDC80 <= c < 0xDD00 else 63 for c in codes)
 
 
+def _any_characters(run: bytes) -> bytes:
+    body = run[1:]
+    if body[0] in b"uUx":
+        return _characters(run)
+    return bytes((int(body, 8) & 255 if body[0] in b"01234567" else SHORT.get(body[0], body[0]),))
+
+
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     yield from _packed(layer)
     if text.find(b"%") >= 0 and (runs := [(m.start(), m.end(), bytes.fromhex(m[0].replace(b"%", b"").decode())) for m in URL_RUN.finditer(text)]):
         yield layer.rewritten(runs)
-    if text.find(b"\\") >= 0 and (runs := [(m.start(), m.end(), _characters(m[0])) for m in UNICODE_RUN.finditer(text)]):
+        if text.find(b"+") >= 0:
+            # Forms write a space as "+"; for compressed bytes both readings are tried.
+            runs += [(k, k + 1, b" ") for k in (m.start() for m in re.finditer(rb"\+", text))]
+            yield from _packed(layer.rewritten(sorted(runs)))
+    if text.find(b"\\") >= 0:
+        if runs := [(m.start(), m.end(), _characters(m[0])) for m in UNICODE_RUN.finditer(text)]:
+            yield layer.rewritten(runs)
+        if runs := [(m.start(), m.end(), _any_characters(m[0])) for m in ANY_ESCAPE.finditer(text)]:
+            yield from _packed(layer.rewritten(runs))
+    if text.find(b"\0") >= 0 and (runs := [(m.start(), m.end(), m[0].replace(b"\0", b"")) for m in WIDE.finditer(text)]):
         yield layer.rewritten(runs)
     for m in BASE64_RUN.finditer(text):
         yield from _decoded(layer, m.start(), m.end())
