@@ -2,7 +2,8 @@
 
 Byte-level BPE cuts a text before a single space between two visible characters, and around a single line break between
 them, whatever stands on either side. A text is split there, words met before are looked up, new ones go to the library
-in one batch. Texts with other white space are cut only at spaces between visible characters.
+in one batch. Texts with other white space are cut only at spaces between visible characters. Texts that hold one of the
+tokenizer's added tokens go to the library whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.newline = self.whole(["\n"])[0]
@@ -47,7 +48,12 @@ class Encoder:
         cut = []
         first: set[str] = set()
         later: set[str] = set()
+        kept_whole = [t for t in texts if any(a in t for a in self.added)]
+        ids_of_whole = dict(zip(kept_whole, self.whole(kept_whole), strict=True))
         for t in texts:
+            if t in ids_of_whole:
+                cut.append(t)
+                continue
             plain = len(t.split()) == t.count(" ") + t.count("\n") + 1
             lines = [line.split(" ") for line in t.split("\n")] if plain else [INNER_SPACE.split(t)]
             for words in lines:
@@ -57,6 +63,9 @@ class Encoder:
         a, b = self.known(self.first, first, ""), self.known(self.later, later, " ")
         out = []
         for lines in cut:
+            if isinstance(lines, str):
+                out.append(ids_of_whole[lines])
+                continue
             parts: list[bytes] = []
             for k, words in enumerate(lines):
                 if k:
