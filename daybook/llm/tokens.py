@@ -13,6 +13,8 @@ import re
 import numpy as np
 
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: White space besides the space and the line break.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Words remembered by a Python worker; further ones are encoded again in each batch that holds them.
 REMEMBERED = 900_000
 
@@ -54,7 +56,7 @@ class Encoder:
             if t in ids_of_whole:
                 cut.append(t)
                 continue
-            plain = len(t.split()) == t.count(" ") + t.count("\n") + 1
+            plain = len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(c in t for c in OTHER_SPACE)
             lines = [line.split(" ") for line in t.split("\n")] if plain else [INNER_SPACE.split(t)]
             for words in lines:
                 first.add(words[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -17,3 +19,10 @@ def same_ids(texts: list[str]) -> None:
 
 def test_special_tokens_in_texts():
     same_ids(["ok <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>\n<|endoftext|> b", "<|endoftext", "plain text", ""])
+
+
+def test_mixed_white_space():
+    rng = random.Random(7)
+    space = [" ", "\n", "\t", "\r", "\xa0", "\u3000", "\x0b", "\x1c", "\x85", "\u2028"]
+    mixed = ["".join(rng.choice(space) if rng.random() < 0.5 else rng.choice("ab1'.é") for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    same_ids(["a\tb\tc\n\n", "a\n\n\nb\tc\td", "a b\nc", *mixed])
