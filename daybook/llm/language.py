@@ -20,24 +20,31 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 def learn_dictionaries(labelled: DataFrame, passages: int = 96, passage_chars: int = 1500) -> dict[str, bytes]:
-    """At most ``passages`` passages of ``passage_chars`` characters of each language of ``labelled`` (text, lang).
+    """``passages`` passages of ``passage_chars`` characters of each language of ``labelled`` (text, lang), or as many as
+    the language has different texts.
 
     This is the bound of what reaches the driver and, as a broadcast, the executors (about 150 KB a language). Texts are
     drawn by hash, so equal texts count once; rows without text or language teach nothing.
     """
     known = labelled.where("lang is not null and text is not null and text != ''").select("text", "lang", F.xxhash64("text").alias("h"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
-    # Twice the share wanted, so that the draw seldom falls short; the surplus is cut below.
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * passages / n)))]), F.col("lang"))
-    drawn = known.where(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - passage_chars, F.lit(0)) + 1).cast("int") + 1
-    rows = drawn.select("lang", "h", F.substr("text", start, F.lit(passage_chars)).alias("passage")).distinct().collect()
+    # Twice the share wanted, so that the draw seldom falls short; the surplus is cut below. What did fall short is drawn anew.
+    drawn: dict[str, list[str]] = {}
+    missing, times = dict(counts), 2
+    while missing:
+        share = F.element_at(F.create_map(*[x for k, n in missing.items() for x in (F.lit(k), F.lit(min(1.0, times * passages / n)))]), F.col("lang"))
+        rows = known.where(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30)).select(
+            "lang", "h", F.substr("text", start, F.lit(passage_chars)).alias("passage")).distinct().collect()
+        for lang in missing:
+            drawn[lang] = [p for _, p in sorted((r.h, r.passage) for r in rows if r.lang == lang)[:passages]]
+        missing = {k: n for k, n in missing.items() if len(drawn[k]) < min(passages, n) and times * passages < n}
+        times *= 2
     out: dict[str, bytes] = {}
     for lang in sorted(counts):
-        own = sorted((r.h, r.passage) for r in rows if r.lang == lang)[:passages]
-        out[lang] = "\n".join(p for _, p in own).lower().encode()
+        out[lang] = "\n".join(drawn[lang]).lower().encode()
     return {k: v for k, v in out.items() if v}
 
 
