@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from daybook.llm.common import staged
 
-TOKEN = r"(?s)[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]]{1,24}|\p{Nd}{1,24}|[^ ]"
+#: Scripts written without spaces, whose characters are tokens each.
+UNSPACED = r"\u0E00-\u0E7F\u1100-\u11FF\u2E80-\uD7FF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+TOKEN = rf"(?s)[A-Za-z[\p{{L}}\p{{M}}&&[^{UNSPACED}]]]{{1,24}}+|[0-9]{{1,24}}+|[^ ]"
 KMER = 3
 PICKED = 2
 ARC_BITS = 6
@@ -29,16 +31,18 @@ PLACE_BITS = 27
 HEX = 4
 
 
-def _place(x: Column) -> Column:
-    return x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+PLACES = (1 << PLACE_BITS) - 1
+HASHES = (1 << 63) - 1 - PLACES
+#: Arcs differ where two packed values do from this bit on.
+ARC_STEP = 1 << (63 - ARC_BITS)
 
 
-def _packed(h: Column, place: Column) -> Column:
-    return F.shiftleft(F.shiftrightunsigned(h, 64 - 63 + PLACE_BITS), PLACE_BITS).bitwiseOR(place)
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(PLACES))
 
 
-def _hash_part(x: Column) -> Column:
-    return F.shiftright(x, PLACE_BITS)
+def _packed(h: Column, place: Column) -> Column:
+    return h.bitwiseAND(F.lit(HASHES)).bitwiseOR(place)
 
 
 def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -46,13 +50,13 @@ def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _number(sorted_: Column):
-    """Occurrence number of entry i of the sorted array: how far back the same k-mer goes."""
+def _numbered(sorted_: Column, steps: Column):
+    """Entry i of the sorted array, hashed anew with its occurrence number unless that is 0: how far back the same k-mer goes."""
     def of(x: Column, i: Column) -> Column:
-        same = lambda back: F.coalesce(_hash_part(F.get(sorted_, (i - back).cast("int"))) == _hash_part(x), F.lit(False))
-        steps = F.array(*[F.lit(1 << s) for s in range(PLACE_BITS - 1, -1, -1)])
-        far = F.aggregate(steps, F.lit(0), lambda d, s: F.when((i >= d + s) & same(d + s), d + s).otherwise(d))
-        return F.when((i > 0) & same(F.lit(1)), F.coalesce(far, F.lit(0))).otherwise(F.lit(0))
+        same = lambda back: x.bitwiseXOR(F.get(sorted_, i - back)) <= PLACES
+        far = F.aggregate(steps, F.lit(0), lambda d, s: F.when(same(d + s), d + s).otherwise(d))
+        number = F.when(same(F.lit(2)), far).otherwise(F.lit(1))
+        return F.when(same(F.lit(1)), _packed(F.xxhash64(x.bitwiseAND(F.lit(HASHES)), number), _place(x))).otherwise(x)
     return of
 
 
@@ -63,29 +67,26 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     kept = [c for c in df.columns if c != out]
     tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
-    df = _bound(df.select(*[F.col(f"`{c}`") for c in kept]), "_omh_tokens", F.coalesce(tokens, F.array().cast("array<string>")))
-    kmer = lambda t, i: _packed(F.xxhash64(t, *[F.get("_omh_tokens", i + j) for j in range(1, KMER)]), i.cast("long"))
-    df = _bound(df, "_omh_kmers", F.transform("_omh_tokens", kmer)).drop("_omh_tokens")
+    # A lambda over a one-entry array binds the tokens, so that the text is matched once.
+    kmers = lambda ts: F.transform(ts, lambda t, i: _packed(F.xxhash64(t, *[F.get(ts, i + j) for j in range(1, KMER)]), i.cast("long")))
+    df = df.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.transform(F.array(tokens), kmers)).alias("_omh_kmers"))
     df = _bound(df, "_omh_sorted", F.sort_array("_omh_kmers"))
-    number = _number(F.col("_omh_sorted"))
-    ranked = F.transform("_omh_sorted", lambda x, i: _packed(F.xxhash64(_hash_part(x), number(x, i)), _place(x)))
-    df = _bound(df, "_omh_ranked", F.sort_array(ranked)).drop("_omh_sorted")
-    arc = lambda x: F.shiftright(x, 63 - ARC_BITS)
-    first = F.filter("_omh_ranked", lambda x, i: (i < PICKED) | F.coalesce(arc(F.get("_omh_ranked", (i - PICKED).cast("int"))) != arc(x), F.lit(False)))
-    df = _bound(df, "_omh_first", first).drop("_omh_ranked")
-
-    n = F.size("_omh_first")
-    steps = F.array(*[F.lit(1 << s) for s in range((COMPONENTS * PICKED).bit_length() - 1, -1, -1)])
-    before = lambda j: F.aggregate(
-        steps, F.lit(0), lambda p, s: F.when((p + s <= n) & F.coalesce(arc(F.get("_omh_first", p + s - 1)) < j, F.lit(False)), p + s).otherwise(p))
-
-    def component(j: Column) -> Column:
-        start = F.when(n == COMPONENTS * PICKED, j * PICKED).otherwise(before(j))
-        places = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(PICKED)) - 1), lambda t: _place(F.get("_omh_first", F.pmod(start + t, n))))
-        picked = F.transform(F.sort_array(places), lambda p: _hash_part(F.get("_omh_kmers", p.cast("int"))))
-        return F.lpad(F.hex(F.xxhash64(picked).bitwiseAND(F.lit((1 << 4 * HEX) - 1))), HEX, "0")
-
-    every = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), component), "")
+    # Doubling steps that fit the text, largest first.
+    digits = F.length(F.bin(F.size("_omh_kmers")))
+    df = _bound(df, "_omh_steps", F.slice(F.array(*[F.lit(1 << s) for s in range(PLACE_BITS - 1, -1, -1)]), PLACE_BITS - digits + 1, digits))
+    df = _bound(df, "_omh_numbered", F.transform("_omh_sorted", _numbered(F.col("_omh_sorted"), F.col("_omh_steps")))).drop("_omh_sorted")
+    df = _bound(df, "_omh_ring", F.sort_array("_omh_numbered")).drop("_omh_numbered")
+
+    n = F.size("_omh_ring")
+    before = lambda j: F.aggregate("_omh_steps", F.lit(0), lambda p, s: F.when(F.get("_omh_ring", p + s - 1) < j * ARC_STEP, p + s).otherwise(p))
+
+    def component(start: Column) -> Column:
+        places = [_place(F.get("_omh_ring", F.pmod(start + t, n))) for t in range(PICKED)]
+        of = lambda p: F.get("_omh_kmers", p.cast("int")).bitwiseAND(F.lit(HASHES))
+        picked = F.transform(F.sort_array(F.slice(F.array(*places), F.lit(1), n)), of)
+        return F.substring(F.hex(F.xxhash64(picked).bitwiseOR(F.lit(1 << 62))), 17 - HEX, HEX)
+
+    every = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(COMPONENTS - 1).cast("long")), lambda j: component(before(j))), "")
     return df.select(*[F.col(f"`{c}`") for c in kept], F.when(n > 0, every).otherwise(F.lit("")).alias(out))
 
 
@@ -126,11 +127,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     given = docs.select("doc_id", text.alias("text"), row.alias("_row"), F.char_length(text).cast("long").alias("n_chars"))
     previous = _previous(given)
     told = with_fingerprint(given, "text", "fingerprint")
-    distinct = told.groupBy("_row").agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "n_chars", "fingerprint")], F.count("*").alias("copies"))
-    # All columns are read on both sides, so that the texts are shuffled once.
-    heads = distinct.where("copies > 0 and n_chars >= 0").join(previous, F.col("_row") == F.col("at")).select(
-        F.col("prev").alias("_row"), F.substr("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-    both = distinct.where("copies > 0 and n_chars >= 0").join(heads, "_row")
+    # One struct, so that both uses read the same columns and their shuffle of texts is one.
+    whole = F.first(F.struct("doc_id", "text", "n_chars", "fingerprint")).alias("doc")
+    distinct = told.groupBy("_row").agg(whole, F.count("*").alias("copies")).where("copies > 0").select("_row", "doc", "copies")
+    heads = distinct.join(previous, F.col("_row") == F.col("at")).select(
+        F.col("prev").alias("_row"), F.substr("doc.text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"), F.col("doc.fingerprint").alias("next_fingerprint"))
+    both = distinct.join(heads, "_row").select("doc.*", "copies", "head", "next_fingerprint")
     own = F.struct(F.lit(1).cast("long").alias("times"), F.col("head"), F.col("next_fingerprint"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     self_ = F.struct((F.col("copies") - 1).alias("times"), F.substr("text", F.lit(1), cut).alias("head"), F.col("fingerprint").alias("next_fingerprint"))

@@ -12,7 +12,8 @@ import xxhash
 
 from daybook.llm import order_minhash as M
 
-TOKEN = regex.compile(r"(?V1)[[\p{L}\p{M}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}]]{1,24}|\p{Nd}{1,24}|[^ ]", regex.DOTALL)
+TOKEN = regex.compile(
+    r"(?V1)[[\p{L}\p{M}]--[\u0E00-\u0E7F\u1100-\u11FF\u2E80-\uD7FF\uF900-\uFAFF\U00020000-\U0003FFFF]]{1,24}|[0-9]{1,24}|[^ ]", regex.DOTALL)
 SCHEMA = "doc_id long, text string, head string, copies string, edited string, times int"
 
 
@@ -27,15 +28,17 @@ def plain(text):
     tokens = [t.encode() for t in TOKEN.findall(text or "")]
     if not tokens:
         return ""
-    keys = [folded(*tokens[i : i + 3]) >> 28 for i in range(len(tokens))]
+    high = (1 << 63) - (1 << 27)
+    keys = [folded(*tokens[i : i + 3]) & high for i in range(len(tokens))]
     seen, ring = Counter(), []
     for place, k in enumerate(keys):
-        ring.append((folded(k.to_bytes(8, "little"), seen[k].to_bytes(4, "little")) >> 28, place))
+        again = folded(k.to_bytes(8, "little"), seen[k].to_bytes(4, "little")) & high
+        ring.append((again if seen[k] else k, place))
         seen[k] += 1
     ring.sort()
     out = []
     for j in range(64):
-        start = next((i for i, (h, _) in enumerate(ring) if h >> 30 >= j), 0)
+        start = next((i for i, (h, _) in enumerate(ring) if h >= j << 57), 0)
         places = sorted(ring[(start + t) % len(ring)][1] for t in range(min(2, len(ring))))
         out.append(f"{folded(*[keys[p].to_bytes(8, 'little') for p in places]) & 0xFFFF:04X}")
     return "".join(out)
