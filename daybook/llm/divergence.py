@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,39 +28,40 @@ COUNTED = "lang string, source string, term string, n long, df long"
 CORRECTED = "lang string, source string, item string, high long, low long"
 
 
-def _counted(batches: Iterable[pa.RecordBatch], most: int = 400_000) -> Iterator[pa.RecordBatch]:
+#: A term's occurrences and documents while they are counted: one number, documents above this bit.
+DOCUMENT = 1 << 40
+
+
+def _counted(batches: Iterable[pa.RecordBatch], most: int = 800_000) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each (lang, source, term), summed until ``most`` are held; '' marks the group itself."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
     size = 0
 
     def given() -> pa.RecordBatch:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], []]
         for (lang, source), terms in held.items():
             cols[0] += [lang] * len(terms)
             cols[1] += [source] * len(terms)
-            cols[2] += [t.decode("utf-8", "replace") for t in terms]
-            cols[3] += [x[0] for x in terms.values()]
-            cols[4] += [x[1] for x in terms.values()]
+            cols[2] += terms
+            cols[3] += terms.values()
         held.clear()
-        types = [pa.string()] * 3 + [pa.int64()] * 2
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["lang", "source", "term", "n", "df"])
+        counts = np.array(cols[3], dtype=np.int64)
+        terms = pa.array(cols[2], pa.binary()).cast(pa.string())
+        return pa.record_batch(
+            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), terms, pa.array(counts % DOCUMENT), pa.array(counts // DOCUMENT)],
+            names=["lang", "source", "term", "n", "df"])
 
     for batch in batches:
         langs, sources = batch.column(0), batch.column(1)
         texts = batch.column(2).cast(pa.large_binary())
         for i in range(batch.num_rows):
-            terms = held.setdefault((langs[i].as_py(), sources[i].as_py()), {b"": [0, 0]})
+            terms = held.setdefault((langs[i].as_py(), sources[i].as_py()), {b"": 0})
             size -= len(terms)
             once: dict[bytes, int] = {}
             for t in texts[i].as_py().translate(TERM_BYTES).split():
-                once[t] = once.get(t, 0) + 1
+                once[t] = once.get(t, DOCUMENT) + 1
             for t, n in once.items():
-                x = terms.get(t)
-                if x is None:
-                    terms[t] = [n, 1]
-                else:
-                    x[0] += n
-                    x[1] += 1
+                terms[t] = terms.get(t, 0) + n
             size += len(terms)
             if size > most:
                 yield given()
@@ -84,49 +86,118 @@ def distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+class Tree:
+    """The open path of the tree, and pairs of a complete node and an ancestor that wait to be corrected together."""
+
+    #: A node of more rows is corrected in Python integers; below, sums of WAITING products stay within 64 bits.
+    MOST_TIMES, WAITING = 1 << 12, 1 << 18
+
+    def __init__(self) -> None:
+        self.sums: dict[tuple[int, int], int] = {}
+        self.path: list[int] = []
+        self._nodes([], [], [], [])
+
+    def _nodes(self, group, p, p0, times) -> None:
+        self.group, self.p, self.p0, self.times = group, p, p0, times
+        self.below, self.above = [], []
+
+    def insert(self, group: int, p: int, p0: int) -> None:
+        self.path.append(len(self.p))
+        self.group.append(group)
+        self.p.append(p)
+        self.p0.append(p0)
+        self.times.append(0)
+
+    def close(self, depth: int) -> None:
+        """Nodes below ``depth`` are complete: pair each with its ancestors and hand its multiplicity up."""
+        while len(self.path) > depth:
+            i = self.path.pop()
+            if not self.path:
+                return
+            self.times[self.path[-1]] += self.times[i]
+            if self.times[i] > self.MOST_TIMES:
+                self._exact(i)
+                continue
+            self.below += [i] * len(self.path)
+            self.above += self.path
+            if len(self.below) > self.WAITING:
+                self.correct()
+
+    def _add(self, a: int, b: int, value: int) -> None:
+        self.sums[a, b] = self.sums.get((a, b), 0) + value
+
+    def _exact(self, i: int) -> None:
+        f = lambda p, q: (p - q) ** 2 // q
+        for j in self.path:
+            for x, y in ((i, j), (j, i)):
+                p, p0, q, q0 = self.p[x], self.p0[x], self.p[y], self.p0[y]
+                self._add(self.group[x], self.group[y], self.times[i] * (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)))
+
+    def correct(self) -> None:
+        """All waiting pairs at once. The four terms are below 2^60 each, so a correction is a 64-bit number, summed in two halves."""
+        group, p, p0, times = (np.array(x, dtype=np.int64) for x in (self.group, self.p, self.p0, self.times))
+        i, j = np.array(self.below, dtype=np.int64), np.array(self.above, dtype=np.int64)
+        f = lambda a, b: (a - b) ** 2 // b
+        for x, y in ((i, j), (j, i)) if len(i) else ():
+            value = f(p[x], p[y]) - f(p[x], p0[y]) - f(p0[x], p[y]) + f(p0[x], p0[y])
+            keys, at = _pairs(group[x], group[y])
+            high, low = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            np.add.at(high, at, (value >> 32) * times[i])
+            np.add.at(low, at, (value & 0xFFFFFFFF) * times[i])
+            for (a, b), h, n in zip(keys, high.tolist(), low.tolist(), strict=True):
+                self._add(a, b, (h << 32) + n)
+        open_ = self.path
+        self._nodes(*([x[k] for k in open_] for x in (self.group, self.p, self.p0, self.times)))
+        self.path = list(range(len(open_)))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Distinct pairs of group numbers (below 2^31) and the place of each pair among them."""
+    both, at = np.unique((a << 31) | b, return_inverse=True)
+    return [(int(x) >> 31, int(x) & 0x7FFFFFFF) for x in both], at
+
+
 def _corrections(batches: Iterable[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Walk sorted rows as a tree; per (lang, source, item) the corrections of all its nodes and ancestors."""
-    sums: dict[tuple[str, str, str], int] = {}
-    path: list[list] = []  # [source, n, p, p0, multiplicity]
-    lang = None
-
-    def f(p: int, q: int) -> int:
-        return (p - q) * (p - q) // q
-
-    def close(depth: int) -> None:
-        """Nodes below ``depth`` are complete: correct each against its ancestors and hand its multiplicity up."""
-        while len(path) > depth:
-            source, _, p, p0, times = path.pop()
-            for above, _, q, q0, _ in path:
-                both = f(p0, q0), f(q0, p0)
-                sums[lang, source, above] = sums.get((lang, source, above), 0) + times * (f(p, q) - f(p, q0) - f(p0, q) + both[0])
-                sums[lang, above, source] = sums.get((lang, above, source), 0) + times * (f(q, p) - f(q, p0) - f(q0, p) + both[1])
-            if path:
-                path[-1][4] += times
+    """Walk sorted rows (lang, counts, times) as a tree; per (lang, source, item) the corrections of all nodes and ancestors."""
+    tree, numbers, groups = Tree(), {}, []
+    lang, prefix = None, []  # (source, n) of the open path
 
     def given() -> pa.RecordBatch:
-        keys, values = list(sums), list(sums.values())
-        sums.clear()
-        cols = [[k[j] for k in keys] for j in range(3)] + [[v >> 32 for v in values], [v & 0xFFFFFFFF for v in values]]
+        keys, values = list(tree.sums), list(tree.sums.values())
+        tree.sums.clear()
+        cols = [[groups[a][0] for a, _ in keys], [groups[a][1] for a, _ in keys], [groups[b][1] for _, b in keys], [v >> 32 for v in values], [v & 0xFFFFFFFF for v in values]]
         types = [pa.string()] * 3 + [pa.int64()] * 2
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["lang", "source", "item", "high", "low"])
 
     for batch in batches:
-        for row in batch.to_pylist():
-            counts = row["counts"]
+        langs, counts, times = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
+        ends = counts.offsets.to_pylist()
+        base = ends[0]
+        sources, ns, ps, p0s = (c.to_pylist() for c in counts.flatten().flatten())
+        for row, (row_lang, n_rows) in enumerate(zip(langs, times, strict=True)):
+            start, stop = ends[row] - base, ends[row + 1] - base
             shared = 0
-            if row["lang"] == lang:
-                while shared < min(len(path), len(counts)) and path[shared][0] == counts[shared]["source"] and path[shared][1] == counts[shared]["n"]:
+            if row_lang == lang:
+                most_shared = min(len(prefix), stop - start)
+                while shared < most_shared and prefix[shared] == (sources[start + shared], ns[start + shared]):
                     shared += 1
-            close(shared)
-            lang = row["lang"]
-            path.extend([x["source"], x["n"], x["p"], x["p0"], 0] for x in counts[shared:])
-            path[-1][4] += row["times"]
-            if len(sums) > most:
+            tree.close(shared)
+            del prefix[shared:]
+            lang = row_lang
+            for k in range(start + shared, stop):
+                prefix.append((sources[k], ns[k]))
+                group = numbers.get((lang, sources[k]))
+                if group is None:
+                    group = numbers[lang, sources[k]] = len(groups)
+                    groups.append((lang, sources[k]))
+                tree.insert(group, ps[k], p0s[k])
+            tree.times[tree.path[-1]] += n_rows
+            if len(tree.sums) > most:
                 # Sums go out in parts; the open path stays.
                 yield given()
-    close(0)
-    if sums:
+    tree.close(0)
+    tree.correct()
+    if tree.sums:
         yield given()
 
 

@@ -61,3 +61,29 @@ def test_corrections_of_a_tree_shared_by_many_rows(spark):
 
 def test_no_rows(spark):
     assert divergence.audit(frame(spark, [])).collect() == []
+
+
+def test_a_node_of_many_rows_is_corrected_exactly(monkeypatch):
+    monkeypatch.setattr(divergence.Tree, "WAITING", 3)
+    rng = random.Random(1)
+    shares = {(s, n): rng.randint(1, 10**9 + 1) for s in range(4) for n in range(4)}
+    rows = sorted({tuple((s, rng.randint(1, 3)) for s in range(4) if rng.random() < 0.7): rng.choice([1, 3, 10**7]) for _ in range(60)}.items())
+    tree, prefix, want = divergence.Tree(), [], Counter()
+    f = lambda p, q: (p - q) ** 2 // q
+    for row, times in rows:
+        if not row:
+            continue
+        shared = next((k for k, (a, b) in enumerate(zip(prefix, row)) if a != b), min(len(prefix), len(row)))
+        tree.close(shared)
+        prefix[shared:] = row[shared:]
+        for s, n in row[shared:]:
+            tree.insert(s, shares[s, n], shares[s, 0])
+        tree.times[tree.path[-1]] += times
+        for a, n in row:
+            for b, m in row:
+                if a != b:
+                    p, p0, q, q0 = shares[a, n], shares[a, 0], shares[b, m], shares[b, 0]
+                    want[a, b] += times * (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0))
+    tree.close(0)
+    tree.correct()
+    assert tree.sums == dict(want)
