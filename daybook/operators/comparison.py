@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import series as S
+from ..functions import live_series as S
 from ..functions.numeric import frac, inaction_cost, money, null, one, ratio
-from ..functions.series import s
+from ..functions.live_series import s
 from ..plans.thresholds import AMBER, GREEN, NO_BANDS, amber_only, two_step
 from ..plans.verdict import Analysis, per_row, single
 from .cube import CITY, GROUP, Cube, all_combos
@@ -242,10 +242,9 @@ class RankMatrix:
 def rank_cells(cube: Cube, mode: str = "product") -> DataFrame:
     """Competition rank of every product (or month) inside each city; empty cells tie below the sellers."""
     if mode == "month":
-        cities = cube.all_members(CITY).select(F.col("member").alias("city"), "s", S.competition_ranks(s()).alias("ranks"))
-        return cities.select("city", F.posexplode("s").alias("i", "value"), "ranks").select(
-            "city", cube.label(F.col("i")).alias("label"), F.col("i").cast("double").alias("ord"), "value",
-            F.get("ranks", F.col("i")).cast("bigint").alias("rank"))
+        cells = cube.all_members(CITY).select(F.col("member").alias("city"), F.inline(S.ranked_months(s())))
+        return cells.select(
+            "city", cube.label(F.col("idx")).alias("label"), F.col("idx").cast("double").alias("ord"), "value", F.col("rank").cast("bigint").alias("rank"))
     # One row per product in every city: the partition is the product list, equal in all cities.
     w = Window.partitionBy("city").orderBy(F.desc("revenue"))
     return all_combos(cube).select("city", F.col("grp").alias("label"), F.col("revenue").alias("value"),

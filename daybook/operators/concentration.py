@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import series as S
+from ..functions import live_series as S
 from ..functions.numeric import frac, growth_rate, inaction_cost, money, one, ratio
-from ..functions.series import s
+from ..functions.live_series import s
 from ..plans.thresholds import AMBER, GREEN, HIGH, NO_BANDS, RED, Threshold, two_step
 from ..plans.verdict import Analysis, per_row, single
 from .cube import CITY, GROUP, Axis, Cube
@@ -256,7 +256,7 @@ def concentration_health(cube: Cube, axis: Axis) -> Analysis:
 def concentration_improvement(cube: Cube, axis: Axis) -> Analysis:
     even = F.lit(1.0 / max(cube.n, 1))
     rows = _hhi_rows(cube, axis).filter(F.col("hhi").isNotNull()).withColumn("m", total() / max(cube.n, 1)).withColumn(
-        "short", F.aggregate(s(), F.lit(0.0), lambda a, x: a + F.greatest(F.col("m") - x, F.lit(0.0))))
+        "short", S.sum_over_months(s(), lambda x: F.greatest(F.col("m") - x, F.lit(0.0))))
     table = rows.select("member", frac(F.col("hhi")).alias("hhi"), frac(F.col("hhi") - even).alias("excess"),
                         frac(F.col("m")).alias("average"), money(F.col("short")).alias("shortfall"))
     facts = rows.agg(F.sum("hhi").alias("h"), F.count(one()).alias("n"), F.sum("short").alias("p")).withColumn(

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import series as S
+from ..functions import live_series as S
 from ..functions.numeric import frac, growth_rate, inaction_cost, money, one, ratio
-from ..functions.series import s
+from ..functions.live_series import s
 from ..plans.thresholds import AMBER, GREEN, two_step
 from ..plans.verdict import Analysis, per_row, single
 from .cube import GROUP, Axis, Cube
@@ -29,7 +29,7 @@ class Bridge:
 
 
 def _sum_at(periods: list[int]) -> Column:
-    return F.aggregate(F.array(*[F.lit(i) for i in periods]), F.lit(0.0), lambda a, i: a + F.get(s(), i))
+    return F.aggregate(F.array(*[F.lit(i) for i in periods]), F.lit(0.0), lambda a, i: a + S.at(s(), i))
 
 
 def bridge(cube: Cube, axis: Axis, base: list[int] | None = None, comparison: list[int] | None = None) -> Bridge:
@@ -157,8 +157,8 @@ def company_growth(cube: Cube, axis: Axis = GROUP, **sides) -> Analysis:
 
 
 def monthly_direction(cube: Cube) -> Analysis:
-    table = cube.months().withColumn("runs", S.decline_run_by_index(s())).select(
-        "month", money(F.col("revenue")).alias("revenue"), F.get("runs", F.col("idx")).cast("bigint").alias("streak"))
+    runs = cube.company().select(F.posexplode(S.decline_run_by_index(s())).alias("idx", "streak"))
+    table = cube.months().join(runs, "idx").select("month", money(F.col("revenue")).alias("revenue"), F.col("streak").cast("bigint").alias("streak"))
     table = table.withColumn("status", F.when(F.col("streak") >= 3, AMBER).otherwise(GREEN))
     facts = cube.company().select(S.slope(s(), cube.n).alias("b"), (F.col("total") / max(cube.n, 1)).alias("m"))
     return single(table, facts, ratio(falls(F.col("b")), F.abs("m")), "NEGATIVE_SLOPE", headline=money(F.col("b")))
@@ -212,13 +212,13 @@ def monthly_bridge(cube: Cube) -> Analysis:
         "month", money(F.col("revenue")).alias("revenue"), step.alias("delta"), step_status(step).alias("status"))
     facts = cube.company().select(
         F.round(S.last(s()) - S.at(s(), 0), 2).alias("c"),
-        (F.size(F.filter(s(), lambda x: x == 0)) / F.lit(float(max(cube.n, 1)))).alias("empty"))
+        (S.empty_months(s()) / F.lit(float(max(cube.n, 1)))).alias("empty"))
     return single(table, facts, when_long_enough(cube, 2, F.col("empty")), two_step(0.25, 0.50), headline=F.col("c"))
 
 
 def structural_limits(cube: Cube) -> Analysis:
     """What the shape of the data rules out: too few periods, empty months, missing dimensions."""
-    empty = F.size(F.filter(s(), lambda x: x == 0))
+    empty = S.empty_months(s())
     n = cube.n
     checks = [
         (F.lit(n < 2), "month-over-month movement: single period"),

@@ -10,9 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import series as S
+from ..functions import live_series as S
 from ..functions.numeric import ratio
-from ..functions.series import s
+from ..functions.live_series import s
 from .concentration import combo_order
 from .cube import CITY, COMBO, GROUP, Cube, cube_meta, month_index, signed_amount
 
@@ -40,7 +40,7 @@ def verify_cube(cube: Cube) -> DataFrame:
     total = lambda: fact.select("total").scalar()
     sum_of = lambda df, col="total": df.agg(F.coalesce(F.sum(col), F.lit(0)).cast("double").alias("x"))
     city, group, combo = cube.all_members(CITY), cube.all_members(GROUP), cube.all_members(COMBO)
-    months, series = cube.months(), lambda df: df.select(F.explode("s").alias("total"))
+    months, series = cube.months(), lambda df: df.select(F.explode("s.v").alias("total"))
     by_dim = lambda key: combo.groupBy(key).agg(F.sum("total").alias("total"))
     share = lambda df: df.select(ratio(c("total"), F.lit(cube.total)).alias("sh"))
     meta = cube_meta(cube)

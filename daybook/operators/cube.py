@@ -1,4 +1,4 @@
-"""The monthly cube: one small cuboid, a dense period axis, and member series.
+"""The monthly cube: one small cuboid, a period axis without gaps or end, and member series of live months.
 
 Facts are rolled up once to (city, grp, month); everything the analyses read is a
 further roll-up of that table. Item, customer and salesman totals have their own
@@ -14,11 +14,11 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import series as S
+from ..functions import live_series as S
+from ..functions import series as dense
 from ..functions.numeric import frac, inaction_cost, inaction_opportunity, ratio
 from .ranking import ranked
 
-MAX_PERIODS = 600
 SYNTHETIC_YEAR = 1900
 UNCATEGORISED, UNATTRIBUTED = "Uncategorised", "Unattributed"
 
@@ -115,7 +115,6 @@ class Cube:
     start: date | None
     n: int
     period_totals: list[Decimal]
-    truncated: bool = False
     net_returns: bool = True
     measure: str = "amount"
     _frames: dict[str, DataFrame] = field(default_factory=dict)
@@ -146,10 +145,10 @@ class Cube:
         return self._frames[axis.key]
 
     def all_members(self, axis: Axis) -> DataFrame:
-        """member, axis columns, total, s (dense array); zero totals included."""
+        """member, axis columns, total, s (series of live months); zero totals included."""
         name = f"series:{axis.key}"
         if name not in self._frames:
-            self._frames[name] = dense_series(self.source(axis), axis, self.n).persist()
+            self._frames[name] = live_members(self.source(axis), axis, self.n).persist()
         return self._frames[name]
 
     def members(self, axis: Axis) -> DataFrame:
@@ -162,21 +161,18 @@ class Cube:
         return self._frames[name]
 
     def company(self) -> DataFrame:
-        """One row: total and the dense company series."""
+        """One row: total and the company series."""
         return self.all_members(COMPANY)
 
     def months(self) -> DataFrame:
         """One row per period: idx, key, label, revenue, prev (NULL first) and the series."""
-        if self.n == 0:
-            base = self.company().select("s", F.posexplode("s").alias("idx", "revenue"))
-            return base.select("idx", F.lit("").alias("period"), F.lit("").alias("month"), "revenue",
-                               F.lit(None).cast("double").alias("prev"), "s")
-        return self.company().select("s", F.posexplode("s").alias("idx", "revenue")).select(
+        start = self.start or date(SYNTHETIC_YEAR, 1, 1)
+        return self.company().select("s", F.inline(S.long(F.col("s")))).select(
             "idx",
-            period_key(F.col("idx"), self.start).alias("period"),
-            period_label(F.col("idx"), self.start).alias("month"),
-            "revenue",
-            F.get("s", F.col("idx") - 1).alias("prev"),
+            period_key(F.col("idx"), start).alias("period"),
+            period_label(F.col("idx"), start).alias("month"),
+            F.col("value").alias("revenue"),
+            "prev",
             "s",
         )
 
@@ -205,23 +201,27 @@ def roll_up(facts: DataFrame, cols: tuple[str, ...], measure: str, net_returns:
     )
 
 
-def dense_series(cells: DataFrame, axis: Axis, n: int) -> DataFrame:
-    """One row per member with its zero-filled monthly array.
+def live_members(cells: DataFrame, axis: Axis, n: int) -> DataFrame:
+    """One row per member with the series of its live months.
 
-    A member contributes at most one entry per period (600 at most), so the list
-    collected per member is bounded whatever the fact volume.
+    A member has one entry for each of its live months, so the list collected per member does not grow with the facts,
+    nor with the length of the axis.
     """
-    monthly = cells.groupBy(*axis.cols, "idx").agg(F.sum("amount").alias("amount"))
     entries = F.collect_list(F.struct("idx", F.col("amount").cast("double").alias("v")))
-    agg = monthly.groupBy(*axis.cols).agg(
-        F.sum("amount").cast("double").alias("total"), F.map_from_entries(entries).alias("by_idx")
-    )
+    return _members(cells, axis, S.series(entries, n))
+
+
+def dense_series(cells: DataFrame, axis: Axis, n: int) -> DataFrame:
+    """One row per member with its zero-filled array of ``n`` entries, for axes of fixed length such as the month names."""
+    entries = F.map_from_entries(F.collect_list(F.struct("idx", F.col("amount").cast("double").alias("v"))))
+    return _members(cells, axis, dense.dense(entries, n))
+
+
+def _members(cells: DataFrame, axis: Axis, series: Column) -> DataFrame:
+    monthly = cells.groupBy(*axis.cols, "idx").agg(F.sum("amount").alias("amount"))
+    agg = monthly.groupBy(*axis.cols).agg(F.sum("amount").cast("double").alias("total"), series.alias("s"))
     member = F.lit(axis.label) if not axis.cols else F.concat_ws(" x ", *[F.col(c) for c in axis.cols])
-    out = agg.select(
-        member.alias("member"), *axis.cols, F.coalesce("total", F.lit(0.0)).alias("total"),
-        S.dense(F.col("by_idx"), n).alias("s"),
-    )
-    return out
+    return agg.select(member.alias("member"), *axis.cols, F.coalesce("total", F.lit(0.0)).alias("total"), "s")
 
 
 def _month_number(d: date) -> int:
@@ -237,8 +237,8 @@ def build_cube(
 ) -> Cube:
     """Roll the fact table up to the (city, grp, month) cuboid and fix the period axis.
 
-    The axis is the requested window, widened to the data and filled without gaps;
-    the first 600 months are kept. One small job (a row per month) reads it.
+    The axis is the requested window, widened to the data and filled without gaps, however long it gets. One small job
+    reads it: a row per month that has data, of which the DATE type has 119,988.
     """
     placed = resolve_period(facts)
     monthly = roll_up(placed, ("city", "grp"), measure, net_returns).persist()
@@ -247,21 +247,15 @@ def build_cube(
     highs = [*per_month, *([to_date] if to_date else [])]
     if not lows or not highs or max(highs) < min(lows):
         cells = monthly.select("city", "grp", F.lit(0).alias("idx"), "amount").limit(0)
-        return Cube(placed, cells, None, 0, [], False, net_returns, measure)
+        return Cube(placed, cells, None, 0, [], net_returns, measure)
     first = _month_number(min(lows))
     n = _month_number(max(highs)) - first + 1
-    truncated = n > MAX_PERIODS
-    n = min(n, MAX_PERIODS)
     start = date(first // 12, first % 12 + 1, 1)
-    cells = monthly.select("city", "grp", month_index(F.col("month"), start).alias("idx"), "amount").filter(
-        F.col("idx") < n
-    )
+    cells = monthly.select("city", "grp", month_index(F.col("month"), start).alias("idx"), "amount")
     totals = [Decimal(0)] * n
     for month, amount in per_month.items():
-        i = _month_number(month) - first
-        if i < n:
-            totals[i] += amount
-    return Cube(placed, cells, start, n, totals, truncated, net_returns, measure)
+        totals[_month_number(month) - first] += amount
+    return Cube(placed, cells, start, n, totals, net_returns, measure)
 
 
 def period_axis(cube: Cube) -> DataFrame:
@@ -303,14 +297,14 @@ def cube_meta(cube: Cube) -> DataFrame:
         F.count_if(F.col("period_fallback")).alias("periods_from_fallback"),
         F.count_if(F.col("month").isNull()).alias("unresolved_rows"),
     ).select(
-        "*", F.lit(names).cast("bigint").alias("periods"), F.lit(cube.truncated).alias("truncated"),
+        "*", F.lit(names).cast("bigint").alias("periods"), F.lit(False).alias("truncated"),
         F.lit(cube.n > 12).alias("same_month_collision"),
     )
 
 
 def dense_long(cube: Cube, axis: Axis) -> DataFrame:
     """member x period in long form, zero-filled."""
-    return cube.members(axis).select("member", F.posexplode("s").alias("idx", "amount")).select(
+    return cube.members(axis).select("member", F.posexplode(S.values(F.col("s"))).alias("idx", "amount")).select(
         "member", F.col("idx").cast("bigint").alias("idx"), "amount"
     )
 
@@ -372,16 +366,14 @@ def member_statistics(cube: Cube, axis: Axis) -> DataFrame:
         frac(ratio(S.last(s) - F.col("peak"), F.abs("peak"))).alias("peak_gap_rate"),
         frac(S.hhi(s)).alias("hhi"),
         frac(1 / F.when(S.hhi(s) > 0, S.hhi(s))).alias("diversification"),
-        F.round(S.total(F.slice(s, 1, half)), 2).alias("first_half"),
-        F.round(S.total(F.slice(s, half + 1, max(n - half, 0))), 2).alias("second_half"),
+        F.round(S.part(s, 0, half), 2).alias("first_half"),
+        F.round(S.part(s, half, n), 2).alias("second_half"),
     )
 
 
 def mom_series(cube: Cube, axis: Axis) -> DataFrame:
     """Month-on-month growth of every member (NULL at the first period and after a zero)."""
-    return cube.members(axis).select("member", "s", F.posexplode("s").alias("idx", "amount")).withColumn(
-        "prev", F.get("s", F.col("idx") - 1)
-    ).select(
-        "member", F.col("idx").cast("bigint").alias("idx"), "amount",
-        frac(ratio(F.col("amount") - F.col("prev"), F.abs("prev"))).alias("mom"),
+    return cube.members(axis).select("member", F.inline(S.long(F.col("s")))).select(
+        "member", F.col("idx").cast("bigint").alias("idx"), F.col("value").alias("amount"),
+        frac(ratio(F.col("value") - F.col("prev"), F.abs("prev"))).alias("mom"),
     )

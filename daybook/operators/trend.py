@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import series as S
+from ..functions import live_series as S
 from ..functions.numeric import frac, growth_rate, inaction_cost, money, null, positive_part, ratio
-from ..functions.series import s
+from ..functions.live_series import s
 from ..plans.thresholds import AMBER, GREEN, amber_only, falling, two_step
 from ..plans.verdict import Analysis, per_row, single
 from .cube import CITY, Axis, Cube
@@ -181,8 +181,8 @@ def front_vs_back(cube: Cube) -> Analysis:
     half = (cube.n + 1) // 2
     rest = cube.n - half
     facts = cube.company().select(
-        S.total(F.slice(s(), 1, max(half, 1))).alias("t1"),
-        S.total(F.slice(s(), half + 1, rest)).alias("t2"),
+        S.part(s(), 0, max(half, 1)).alias("t1"),
+        S.part(s(), half, cube.n).alias("t2"),
     ).withColumn("a1", F.col("t1") / max(half, 1)).withColumn("a2", F.col("t2") / max(rest, 1)).withColumn(
         "d", F.when(F.col("a1") > 0, (F.col("a2") - F.col("a1")) / F.when(F.col("a1") > 0, F.col("a1"))).otherwise(0.0))
     halves = F.array(
@@ -225,7 +225,7 @@ def recent_3m_share(cube: Cube) -> Analysis:
 
 
 def mom_consistency(cube: Cube) -> Analysis:
-    moves = F.filter(S.steps(s()), lambda d: d != 0)
+    moves = F.transform(S.moves(s()), lambda m: m["d"])
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def advance(acc: Column, d: Column) -> Column:
@@ -254,9 +254,7 @@ def rank_stability(cube: Cube, axis: Axis = CITY) -> Analysis:
 
 
 def quarterly_trajectory(cube: Cube) -> Analysis:
-    chunks = (cube.n + 2) // 3
-    q = F.transform(F.sequence(F.lit(0), F.lit(max(chunks - 1, 0))), lambda i: S.total(F.slice(s(), i * 3 + 1, F.lit(3))))
-    rows = cube.company().select(q.alias("q")).select("q", F.posexplode("q").alias("i", "revenue")).withColumn(
+    rows = cube.company().select(S.sums_of(s(), 3).alias("q")).select("q", F.posexplode("q").alias("i", "revenue")).withColumn(
         "prior", F.get("q", F.col("i") - 1))
     change = F.when(F.col("prior") > 0, (F.col("revenue") - F.col("prior")) / F.when(F.col("prior") > 0, F.col("prior")))
     rows = rows.withColumn("c", change)

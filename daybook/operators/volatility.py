@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import series as S
+from ..functions import live_series as S
 from ..functions.numeric import frac, money, one, ratio
-from ..functions.series import s
+from ..functions.live_series import s
 from ..plans.thresholds import AMBER, GREEN, NO_BANDS, falling, two_step
 from ..plans.verdict import Analysis, per_row, single
 from .cube import Axis, Cube
@@ -154,7 +154,7 @@ def monthly_overview(cube: Cube) -> Analysis:
 
 def monthly_range(cube: Cube, amber: float = 50000, red: float = 100000) -> Analysis:
     table = cube.months().select("month", money(c("revenue")).alias("revenue"),
-                                 F.round(F.array_max("s") - c("revenue"), 2).alias("vs_peak"))
+                                 F.round(S.peak(s()) - c("revenue"), 2).alias("vs_peak"))
     return single(table, _company(cube), c("gap"), two_step(amber, red), headline=c("gap"), coi=frac(c("gap") / max(cube.n, 1)))
 
 
