@@ -202,21 +202,39 @@ def _(spark, sf):
 # --- mirror -----------------------------------------------------------------------------
 
 
-def voucher_state(spark, sf):
+def voucher_mirror(spark, sf):
+    """A mirror of two companies with the same ids: an older state of every voucher, compacted, then a full read of the first company.
+
+    The older state has other amounts and dates a year later, the full read lacks the cancelled vouchers.
+    """
     v = books(spark, sf).vouchers
     rows = v.select("company_id", c("voucher_id").alias("source_object_id"), "voucher_number", "voucher_type", "voucher_date", "party", "amount", "alter_id", "is_cancelled")
-    return mr.with_hash(rows).withColumn("is_deleted", c("is_cancelled"))
+    older = rows.withColumn("amount", c("amount") + 1).withColumn("voucher_date", F.add_months("voucher_date", 12))
+    other = older.withColumn("company_id", L("CO2"))
+    m = mr.Mirror(spark, f"{ensure_checkpoint_dir(spark)}/daybook-mirror-{uuid.uuid4().hex}", "vouchers")
+    m.apply(older.unionByName(other), 1, "run-1")
+    m.compact(1)
+    m.apply(rows.filter(~c("is_cancelled")).withColumn("alter_id", c("alter_id") + 1), 2, "run-2", full_read=True, company="CO1")
+    return m
+
+
+def ledger_mirror(spark, sf, keep=L(True)):
+    led = books(spark, sf).ledgers.drop("address_lines").withColumn("alter_id", L(1).cast("bigint"))
+    m = mr.Mirror(spark, f"{ensure_checkpoint_dir(spark)}/daybook-mirror-{uuid.uuid4().hex}", "ledgers")
+    m.apply(led.unionByName(led.withColumn("company_id", L("CO2"))), 1, "run-1")
+    m.compact(1)
+    m.apply(led.filter(keep).withColumn("alter_id", L(2).cast("bigint")), 2, "run-2")
+    return m
 
 
 @q("S12_scan_mirror_vouchers", books_sql() + "SELECT voucher_id AS source_object_id, amount::DOUBLE AS amount FROM vouchers WHERE NOT is_cancelled AND voucher_date BETWEEN DATE '1997-04-01' AND DATE '1998-03-31'")
 def _(spark, sf):
-    return mr.scan_mirror_vouchers(voucher_state(spark, sf), "CO1", date(1997, 4, 1), date(1998, 3, 31)).select("source_object_id", c("amount").cast("double").alias("amount"))
+    return mr.scan_mirror_vouchers(voucher_mirror(spark, sf), "CO1", date(1997, 4, 1), date(1998, 3, 31)).select("source_object_id", c("amount").cast("double").alias("amount"))
 
 
-@q("S13_scan_mirror_domain", books_sql() + "SELECT source_object_id, name FROM ledgers WHERE closing_balance IS NOT NULL")
+@q("S13_scan_mirror_domain", books_sql() + "SELECT source_object_id, name FROM ledgers")
 def _(spark, sf):
-    led = books(spark, sf).ledgers.withColumn("is_deleted", c("closing_balance").isNull())
-    return mr.scan_mirror_domain(led, "CO1").select("source_object_id", "name")
+    return mr.scan_mirror_domain(ledger_mirror(spark, sf), "CO1").select("source_object_id", "name")
 
 
 @q("S14_write_mirror", books_sql() + "SELECT source_object_id, name FROM ledgers")
@@ -232,8 +250,9 @@ def _(spark, sf):
 @q("S15_domain_counts", books_sql() + "SELECT 'vouchers' AS domain, count(*) AS rows FROM vouchers WHERE NOT is_cancelled UNION ALL SELECT 'ledgers', count(*) FROM ledgers UNION ALL SELECT 'customers', count(*) FROM ledgers WHERE parent = 'Sundry Debtors' UNION ALL SELECT 'suppliers', count(*) FROM ledgers WHERE parent = 'Sundry Creditors'")
 def _(spark, sf):
     from daybook.operators.fact import parties
-    led = books(spark, sf).ledgers.withColumn("is_deleted", L(False))
-    return mr.domain_counts({"vouchers": voucher_state(spark, sf), "ledgers": led, "customers": parties(led, "customers"), "suppliers": parties(led, "suppliers")}, "CO1")
+    led = mr.scan_mirror_domain(ledger_mirror(spark, sf, c("parent") == "Sundry Debtors"), "CO1")
+    vouchers = mr.scan_mirror_vouchers(voucher_mirror(spark, sf), "CO1")
+    return mr.domain_counts({"vouchers": vouchers, "ledgers": led, "customers": parties(led, "customers"), "suppliers": parties(led, "suppliers")})
 
 
 # --- change capture over the events feed: event_id is the version, user_id the object -----

@@ -48,7 +48,7 @@ def sync_run(spark: SparkSession, root: str, company: str, domains: dict[str, Da
             rows.append((run_id, company, name, "SKIPPED", 0, 0, 0, 0, None))
             continue
         try:
-            s = Mirror(spark, root, name).apply(frame, version, run_id, order, full_read=True, writer="sync").first().asDict()
+            s = Mirror(spark, root, name).apply(frame, version, run_id, order, full_read=True, writer="sync", company=company).first().asDict()
             rows.append((run_id, company, name, "SUCCESS", s["inserted"], s["updated"], s["unchanged"], s["tombstoned"], s["refused"]))
         except Exception as e:  # noqa: BLE001 - the run goes on with the next domain
             rows.append((run_id, company, name, "FAILED", 0, 0, 0, 0, type(e).__name__))

@@ -1,10 +1,11 @@
 """Change capture: upsert, tombstones, replay, streams and runs."""
 
 import json
+from datetime import date
 
 from pyspark.sql import functions as F
 
-from daybook.streaming import cdc
+from daybook.streaming import cdc, mirror
 from daybook.streaming.mirror import Mirror, detect_deletions, incremental_cursor, tombstone_missing, with_hash
 
 SCHEMA = "company_id string, source_object_id string, guid string, name string, alter_id bigint"
@@ -110,6 +111,79 @@ def test_replay_after_compaction_keeps_the_events(spark, tmp_path):
     assert m.apply(batch(spark, [("a", "A2", 2), (None, "no id", 2)]), 3, "r3").first()["skipped"] == 1
 
 
+VOUCHERS = "company_id string, source_object_id string, voucher_date date, amount int, alter_id bigint"
+
+
+def vouchers(spark, rows):
+    return spark.createDataFrame([(co, k, date(2024, month, 1), amount, v) for co, k, month, amount, v in rows], VOUCHERS)
+
+
+def formatted(spark, df):
+    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def live(df):
+    return sorted((r["company_id"], r["source_object_id"], r["voucher_date"].month, r["amount"]) for r in df.collect())
+
+
+def test_company_and_date_reach_the_scan_of_the_base(spark, tmp_path):
+    m = Mirror(spark, str(tmp_path), "vouchers")
+    m.apply(vouchers(spark, [(co, f"k{i}", i + 1, i, 1) for co in ("001", "1") for i in range(12)]), 1, "r1")
+    m.compact(1)
+    m.apply(vouchers(spark, [("001", "k2", 9, 20, 2), ("001", "k5", 3, 50, 2), ("1", "new", 3, 7, 2)]), 2, "r2")
+    march = mirror.scan_mirror_vouchers(m, "001", date(2024, 3, 1), date(2024, 4, 30))
+    assert live(march) == [("001", "k3", 4, 3), ("001", "k5", 3, 50)], "a moved voucher is found at its new date only"
+    assert len(live(m.read("1"))) == 13
+    scan = formatted(spark, march).split("PushedFilters")
+    assert any("GreaterThanOrEqual(voucher_date" in x.split("ReadSchema")[0] for x in scan)
+    assert any("PartitionFilters" in x and "= c-001)" in x.split("PartitionFilters")[1] for x in scan)
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    m = Mirror(spark, str(tmp_path), "v", buckets=8)
+    m.apply(batch(spark, [(f"k{i}", "x", 1) for i in range(200)]), 1, "r1")
+    few = spark.createDataFrame([("k1",), ("k2",)], "source_object_id string").select(m.bucket()).distinct()
+    picked = [r[0] for r in few.collect()]
+    read = m.state(buckets=picked)
+    assert 0 < read.count() < 200 and {f.split("bucket=")[1].split("/")[0] for f in read.inputFiles()} >= {str(b) for b in picked}
+    assert "bucket#" in formatted(spark, read).split("PartitionFilters")[1].split("ReadSchema")[0]
+    stats = m.apply(batch(spark, [("k1", "y", 2), ("k2", "x", 2), ("k900", "z", 2)]), 2, "r2").first()
+    assert (stats["inserted"], stats["updated"], stats["unchanged"]) == (1, 1, 1) and len(names(m)) == 201
+
+
+def test_the_list_of_a_state_stays_short(spark, tmp_path):
+    m = Mirror(spark, str(tmp_path), "v", buckets=2, compact_every=3)
+    for n in range(1, 12):
+        m.apply(batch(spark, [("a", f"A{n}", n), (f"k{n}", "x", n)]), n, f"r{n}", writer="w")
+        assert len(m._listed()) <= 8
+    assert names(m) == {"a": "A11", **{f"k{n}": "x" for n in range(1, 12)}}
+    assert m.events().count() == 22
+    assert m.apply(batch(spark, [("a", "A2", 2), ("k2", "x", 2)]), 2, "r2", writer="w").first()["total"] == 2, "an old batch finds its version in an epoch before"
+    assert names(m)["a"] == "A11" and m.events().count() == 22
+    gone = m.vacuum(9)
+    assert gone and names(m)["a"] == "A11" and len(names(m)) == 12
+    assert {r["version"] for r in m.events().select("version").distinct().collect()} >= {10, 11}
+
+
+def test_a_batch_that_was_not_committed_is_not_read(spark, tmp_path):
+    m = Mirror(spark, str(tmp_path), "v")
+    m.apply(batch(spark, [("a", "A", 1)]), 1, "r1", writer="w")
+    version = m.version_of(2, "w")
+    m._write(with_hash(batch(spark, [("a", "half", 2)])), "delta", version)
+    assert names(m) == {"a": "A"}
+    assert m.apply(batch(spark, [("a", "A2", 2)]), 2, "r2", writer="w").first()["updated"] == 1
+    assert names(m) == {"a": "A2"} and m.version_of(2, "w") == version and m.version_of(3, "w") == version + 1
+
+
+def test_a_full_read_of_one_company_leaves_the_others(spark, tmp_path):
+    m = Mirror(spark, str(tmp_path), "v")
+    m.apply(vouchers(spark, [(co, k, 1, 1, 1) for co in ("A", "B", None) for k in "xyz"]), 1, "r1")
+    stats = m.apply(vouchers(spark, [("A", "x", 1, 1, 2), ("A", "y", 1, 5, 2)]), 2, "r2", full_read=True, company="A").first()
+    assert (stats["tombstoned"], stats["updated"], stats["unchanged"]) == (1, 1, 1)
+    assert live(m.read("A")) == [("A", "x", 1, 1), ("A", "y", 1, 5)] and len(live(m.read("B"))) == 3
+    assert m.state().filter("company_id is null").count() == 3
+
+
 def test_sync_run_goes_on_after_a_failed_domain(spark, tmp_path):
     good = batch(spark, [("a", "A", 1)])
     log = cdc.sync_run(spark, str(tmp_path), "CO1", {"vouchers": good, "units": None, "ledgers": good.drop("alter_id")}, 1)
