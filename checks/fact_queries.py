@@ -12,7 +12,7 @@ from daybook.operators.cube import modal_year, resolve_period
 
 from .books import CLASS_OF, FLOW_OF, books, books_sql
 from .sql_base import r, r2
-from .star import table
+from .star import MONEY, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -140,11 +140,13 @@ def _(spark, sf):
 _ELIGIBLE = "voucher_type IN ('Export Sales','Sales Return Note','Tax Invoice GST','Sales Order')"
 _FACT = f"""
 , head AS (SELECT *, {CLASS_OF} AS voucher_class FROM vouchers WHERE {_ELIGIBLE} AND NOT is_cancelled AND NOT is_optional),
-ltot AS (SELECT voucher_id, sum(abs(amount)) AS t, count(*) AS n FROM stock_lines GROUP BY 1),
+slines AS (SELECT * FROM stock_lines QUALIFY row_number() OVER (PARTITION BY voucher_id, entry_id ORDER BY line, item NULLS FIRST, quantity, unit NULLS FIRST, rate NULLS FIRST, amount, is_credit, cost_centre NULLS FIRST) = 1),
+srepeats AS (SELECT voucher_id, entry_id, count(*) - 1 AS copies FROM stock_lines WHERE voucher_id IN (SELECT voucher_id FROM head) GROUP BY ALL HAVING count(*) > 1),
+ltot AS (SELECT voucher_id, sum(abs(amount)) AS t, count(*) AS n FROM slines GROUP BY 1),
 vcentre AS (SELECT voucher_id, arg_min(cost_centre, (line, cost_centre)) AS vc FROM ledger_lines WHERE cost_centre IS NOT NULL GROUP BY 1),
 frows AS (
   SELECT h.voucher_id, s.entry_id, h.party, h.voucher_class, s.item, s.quantity, s.unit, s.amount, {r2('s.amount::DOUBLE + coalesce(k.tax + k.ch + k.ro - k.di, 0)::DOUBLE * CASE WHEN t.t = 0 THEN 1.0 / t.n ELSE s.amount::DOUBLE / t.t::DOUBLE END')} AS wc,
-    s.cost_centre, false AS acct, h.voucher_date FROM head h JOIN stock_lines s USING (voucher_id) JOIN ltot t USING (voucher_id) LEFT JOIN charges k USING (voucher_id)
+    s.cost_centre, false AS acct, h.voucher_date FROM head h JOIN slines s USING (voucher_id) JOIN ltot t USING (voucher_id) LEFT JOIN charges k USING (voucher_id)
   UNION ALL SELECT h.voucher_id, h.voucher_id || '#ACCT1', h.party, h.voucher_class, coalesce(k.base_ledger, '(Service / Accounting Invoice)'), 1, 'Service', CASE WHEN k.base <> 0 THEN k.base ELSE abs(h.amount) END,
     CASE WHEN k.base <> 0 THEN k.base + k.tax + k.ch + k.ro - k.di ELSE abs(h.amount) END::DOUBLE, NULL, true, h.voucher_date FROM head h LEFT JOIN charges k USING (voucher_id) WHERE h.voucher_id NOT IN (SELECT voucher_id FROM stock_lines)),
 facts AS (SELECT substr(sha256('CO1|' || f.voucher_id || '|' || f.entry_id), 1, 32) AS row_id, f.voucher_id, f.entry_id, f.party AS customer, CASE WHEN acct THEN 'Service' ELSE coalesce(g.name, i.parent) END AS grp,
@@ -159,9 +161,24 @@ facts AS (SELECT substr(sha256('CO1|' || f.voucher_id || '|' || f.entry_id), 1,
 """
 
 
+def fact_build(spark, sf, tables=None):
+    b = books(spark, sf)
+    return ft.build_facts(*(tables or (b.vouchers, b.stock_lines, b.ledger_lines)), b.ledgers, b.items, b.groups, b.cost_centres, b.classes, b.types)
+
+
 def facts(spark, sf):
+    return fact_build(spark, sf).facts
+
+
+def reingested(spark, sf):
+    """Vouchers, stock and ledger lines where every urgent voucher arrives a second time, with other amounts and texts."""
     b = books(spark, sf)
-    return ft.build_fact_sales(b.vouchers, b.stock_lines, b.ledger_lines, b.ledgers, b.items, b.groups, b.cost_centres, b.classes, b.types)
+    urgent = b.vouchers.filter("priority = '1-URGENT'").select("company_id", "voucher_id")
+    again = lambda df, **changed: df.withColumn("arrival", F.lit(1)).unionByName(
+        df.join(urgent, ["company_id", "voucher_id"], "left_semi").withColumns(changed).withColumn("arrival", F.lit(2)))
+    return (again(b.vouchers, amount=(c("amount") + 100).cast(MONEY), voucher_number=F.lit("again")),
+            again(b.stock_lines, amount=(c("amount") * 2).cast(MONEY), item=F.lit("another item")),
+            again(b.ledger_lines, amount=(c("amount") * 3).cast(MONEY), cost_centre=F.lit("A centre")))
 
 
 @q("J02_build_fact_sales", _FACT + """SELECT row_id, voucher_id, entry_id, customer, grp, item, salesman, city, state, tier, customer_type, amount::DOUBLE AS amount, wc AS amount_with_charges, quantity::DOUBLE AS quantity, unit, is_return,
@@ -226,10 +243,37 @@ def _(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copies", "reason")
 
 
-@q("J07_rejected_rows", f"SELECT voucher_id, 'VOUCHER_CANCELLED_OR_OPTIONAL' AS reason FROM vouchers WHERE {_ELIGIBLE} AND (is_cancelled OR is_optional)")
+_ROW_ID = "substr(sha256('CO1|' || voucher_id || '|' || entry_id), 1, 32)"
+
+
+@q("J07_rejected_rows", _FACT + f"""SELECT voucher_id, NULL AS row_id, 'VOUCHER_CANCELLED_OR_OPTIONAL' AS reason, 1 AS copies FROM vouchers WHERE {_ELIGIBLE} AND (is_cancelled OR is_optional)
+  UNION ALL SELECT voucher_id, {_ROW_ID}, 'DUPLICATE_ROW_ID', copies FROM srepeats""")
 def _(spark, sf):
-    b = books(spark, sf)
-    return ft.rejected_vouchers(b.vouchers, b.stock_lines, b.ledger_lines).select("voucher_id", "reason")
+    return fact_build(spark, sf).rejected.select("voucher_id", "row_id", "reason", "copies")
+
+
+_ARRIVALS = """, urgent AS (SELECT 'V' || o_orderkey AS voucher_id FROM orders WHERE o_orderpriority = '1-URGENT'),
+given AS (SELECT voucher_id, row_id FROM facts WHERE acct UNION ALL SELECT voucher_id, {ROW_ID} FROM stock_lines WHERE voucher_id IN (SELECT voucher_id FROM head)),
+arrivals AS (SELECT voucher_id, row_id, 1 AS arrival FROM given UNION ALL SELECT voucher_id, row_id, 2 FROM given WHERE voucher_id IN (SELECT voucher_id FROM urgent)),
+again AS (SELECT voucher_id, row_id FROM arrivals QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY arrival) > 1),
+off AS (SELECT voucher_id FROM vouchers WHERE {ELIGIBLE} AND (is_cancelled OR is_optional))
+""".replace("{ELIGIBLE}", _ELIGIBLE).replace("{ROW_ID}", _ROW_ID)
+
+
+_J02_COLUMNS = """SELECT row_id, voucher_id, entry_id, customer, grp, item, salesman, city, state, tier, customer_type, amount::DOUBLE AS amount, wc AS amount_with_charges, quality FROM facts"""
+
+
+@q("J02_build_fact_sales_reingested", _FACT + _J02_COLUMNS)
+def _(spark, sf):
+    return fact_build(spark, sf, reingested(spark, sf)).facts.select(
+        "row_id", "voucher_id", "entry_id", "customer", "grp", "item", "salesman", "city", "state", "tier", "customer_type", c("amount").cast("double").alias("amount"),
+        c("amount_with_charges").cast("double").alias("amount_with_charges"), F.array_join("data_quality", ",").alias("quality"))
+
+
+@q("J07_rejected_duplicates", _FACT + _ARRIVALS + """SELECT voucher_id, row_id, 'DUPLICATE_ROW_ID' AS reason, count(*) AS copies FROM again GROUP BY 1, 2
+  UNION ALL SELECT voucher_id, NULL, 'VOUCHER_CANCELLED_OR_OPTIONAL', 1 FROM off UNION ALL SELECT voucher_id, NULL, 'VOUCHER_CANCELLED_OR_OPTIONAL', 1 FROM off WHERE voucher_id IN (SELECT voucher_id FROM urgent)""")
+def _(spark, sf):
+    return fact_build(spark, sf, reingested(spark, sf)).rejected.select("voucher_id", "row_id", "reason", "copies")
 
 
 @q("J08_data_quality_reasons", _FACT + "SELECT reason, count(*) AS rows FROM (SELECT unnest(string_split(quality, ',')) AS reason FROM facts WHERE quality <> '') GROUP BY 1")
@@ -262,9 +306,19 @@ def _(spark, sf):
 
 @q("J13_fact_stats", _FACT + f"""SELECT (SELECT count(*) FROM facts) AS rows, (SELECT sum(amount)::DOUBLE FROM facts) AS net, (SELECT {r2('sum(wc::DECIMAL(18,2))')} FROM facts) AS with_charges,
   (SELECT count(*) FROM vouchers WHERE voucher_id IN (SELECT voucher_id FROM facts)) AS vouchers, (SELECT sum(amount)::DOUBLE FROM vouchers WHERE voucher_id IN (SELECT voucher_id FROM facts)) AS gross_vouchers,
-  (SELECT count(*) FROM vouchers WHERE {_ELIGIBLE} AND (is_cancelled OR is_optional)) AS rejected""")
+  (SELECT count(*) FROM vouchers WHERE {_ELIGIBLE} AND (is_cancelled OR is_optional)) + (SELECT coalesce(sum(copies), 0)::BIGINT FROM srepeats) AS rejected""")
 def _(spark, sf):
     b = books(spark, sf)
-    return ft.fact_stats(facts(spark, sf), b.vouchers, ft.rejected_vouchers(b.vouchers, b.stock_lines, b.ledger_lines))
+    build = fact_build(spark, sf)
+    return ft.fact_stats(build.facts, b.vouchers, build.rejected)
+
+
+@q("J13_fact_stats_reingested", _FACT + _ARRIVALS + f"""SELECT (SELECT count(*) FROM facts) AS rows, (SELECT sum(amount)::DOUBLE FROM facts) AS net, (SELECT {r2('sum(wc::DECIMAL(18,2))')} FROM facts) AS with_charges,
+  (SELECT count(*) FROM vouchers WHERE voucher_id IN (SELECT voucher_id FROM facts)) AS vouchers, (SELECT sum(amount)::DOUBLE FROM vouchers WHERE voucher_id IN (SELECT voucher_id FROM facts)) AS gross_vouchers,
+  (SELECT count(*) FROM off) + (SELECT count(*) FROM off WHERE voucher_id IN (SELECT voucher_id FROM urgent)) + (SELECT count(*) FROM again) AS rejected""")
+def _(spark, sf):
+    tables = reingested(spark, sf)
+    build = fact_build(spark, sf, tables)
+    return ft.fact_stats(build.facts, tables[0], build.rejected)
 
 

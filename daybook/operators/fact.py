@@ -8,6 +8,8 @@ or party that holds a third of all lines is an ordinary skewed equi-join for AQE
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,14 +154,31 @@ def dedupe_rows(rows: DataFrame, key: list[str], order: list[str]) -> tuple[Data
     return kept, rejected
 
 
+def first_arrivals(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key with ``copies``: the earliest by column ``arrival`` where there is one, then by the other columns.
+
+    One aggregation with map-side combine gives the kept row and how many more came, so a key that a third of all rows
+    share is folded before the shuffle.
+    """
+    first = ["arrival"] if "arrival" in rows.columns else []
+    rest = [x for x in rows.columns if x not in [*key, *first]]
+    tagged = rows.groupBy(*key).agg(F.min(F.struct(*first, *rest)).alias("_first"), F.count(F.lit(1)).alias("copies"))
+    return tagged.select(*key, *[c(f"_first.{x}").alias(x) for x in [*first, *rest]], "copies")
+
+
 def eligible_vouchers(vouchers: DataFrame) -> DataFrame:
     """Sales-type vouchers (or untyped ones) before cancelled and optional ones are taken out."""
     kind = F.lower(F.trim(F.coalesce("voucher_type", F.lit(""))))
     return vouchers.filter((F.length(kind) == 0) | kind.rlike(SALES_TYPE_PATTERN))
 
 
+def live_vouchers(vouchers: DataFrame) -> DataFrame:
+    """First arrival of each eligible voucher that is neither cancelled nor optional, with ``copies``."""
+    return first_arrivals(eligible_vouchers(vouchers).filter(~(c("is_cancelled") | c("is_optional"))), KEY)
+
+
 def rejected_vouchers(vouchers: DataFrame, stock_lines: DataFrame, ledger_lines: DataFrame) -> DataFrame:
-    """Side output: voucher and why it produced no fact row."""
+    """Side output: voucher and why it produced no fact row, once for each arrival."""
     e = eligible_vouchers(vouchers)
     off = e.filter(c("is_cancelled") | c("is_optional")).select(*KEY, F.lit("VOUCHER_CANCELLED_OR_OPTIONAL").alias("reason"))
     bare = e.filter(~(c("is_cancelled") | c("is_optional"))).filter(F.coalesce("amount", F.lit(0)) == 0).join(
@@ -168,7 +187,15 @@ def rejected_vouchers(vouchers: DataFrame, stock_lines: DataFrame, ledger_lines:
     return off.unionByName(bare)
 
 
-def build_fact_sales(
+@dataclass
+class FactBuild:
+    """``facts``, and ``rejected``: company_id, voucher_id, row_id (NULL for whole vouchers), reason and how many copies."""
+
+    facts: DataFrame
+    rejected: DataFrame
+
+
+def build_facts(
     vouchers: DataFrame,
     stock_lines: DataFrame,
     ledger_lines: DataFrame,
@@ -179,27 +206,45 @@ def build_fact_sales(
     classes: DataFrame,
     types: DataFrame,
     salesman_enabled: bool = True,
-) -> DataFrame:
-    """One row per stock line of a live sales document, plus one row per service voucher."""
-    live = resolve_voucher_type(eligible_vouchers(vouchers).filter(~(c("is_cancelled") | c("is_optional"))), types).withColumn(
-        "is_return", c("voucher_class") == "CREDIT_NOTE")
-    head = live.select(*KEY, "voucher_number", "voucher_date", "party", "amount", "is_return", "voucher_class")
-    charges = voucher_charges(with_roles(ledger_lines, head))
-    line_centre = ledger_lines.filter(c("cost_centre").isNotNull()).groupBy(*KEY).agg(
+) -> FactBuild:
+    """One row per stock line of a live sales document, plus one row per service voucher.
+
+    A row id that arrives again is rejected with DUPLICATE_ROW_ID before charges are shared out: vouchers and stock lines are
+    reduced to their first arrivals, and the ledger lines of vouchers that came more than once to those of the first.
+    Column ``arrival`` of vouchers, stock and ledger lines says which came first; without it the least row stays, and of
+    equal ledger lines of such a voucher one.
+    """
+    live = resolve_voucher_type(live_vouchers(vouchers), types).withColumn("is_return", c("voucher_class") == "CREDIT_NOTE")
+    repeated = live.filter(c("copies") > 1)
+    head = live.select(*KEY, "voucher_number", "voucher_date", "party", "amount", "is_return", "voucher_class", "copies")
+    came = [*KEY, *(["arrival"] if "arrival" in ledger_lines.columns else [])]
+    once = ledger_lines.join(repeated.select(*came), came, "left_semi")
+    posted = ledger_lines.join(repeated.select(*KEY), KEY, "left_anti").unionByName(once if "arrival" in came else once.distinct())
+    charges = voucher_charges(with_roles(posted, head))
+    line_centre = posted.filter(c("cost_centre").isNotNull()).groupBy(*KEY).agg(
         F.min_by("cost_centre", F.struct("line", "cost_centre")).alias("_voucher_centre"))
 
+    entries = first_arrivals(stock_lines, [*KEY, "entry_id"])
+    repeats = entries.filter(c("copies") > 1).join(head.select(*KEY), KEY, "left_semi").select(*KEY, "entry_id", "copies")
+    head, arrivals = head.drop("copies"), head.select(*KEY, "copies")
     lines = allocate_charges(
-        stock_lines.select(*KEY, "entry_id", "line", "item", "quantity", "unit", "rate", F.abs("amount").cast(MONEY).alias("amount"), "cost_centre"), charges)
+        entries.select(*KEY, "entry_id", "line", "item", "quantity", "unit", "rate", F.abs("amount").cast(MONEY).alias("amount"), "cost_centre"), charges)
     stock = lines.join(head.drop("amount"), KEY).withColumn("is_accounting_invoice", F.lit(False))
     bare = head.join(stock_lines.select(*KEY), KEY, "left_anti").join(
         ledger_lines.groupBy(*KEY).agg(F.lit(True).alias("_posted")), KEY, "left").filter(c("_posted") | (F.coalesce("amount", F.lit(0)) != 0)).drop("_posted")
-    service = accounting_invoice_base(bare, charges, ledger_lines)
+    service = accounting_invoice_base(bare, charges, posted)
     synthetic = service.select(
         *KEY, F.concat(c("voucher_id"), F.lit("#ACCT1")).alias("entry_id"), F.lit(1).cast("bigint").alias("line"), c("product").alias("item"),
         F.lit(1).cast("decimal(18,3)").alias("quantity"), F.lit("Service").alias("unit"), c("base_value").cast("string").alias("rate"),
         c("base_value").alias("amount"), F.lit(None).cast("string").alias("cost_centre"), F.lit(1.0).alias("line_share"),
         c("base_with_charges").alias("amount_with_charges"), "voucher_number", "voucher_date", "party", "is_return", "voucher_class",
         F.lit(True).alias("is_accounting_invoice"))
+    service_repeats = arrivals.filter(c("copies") > 1).join(bare.select(*KEY), KEY, "left_semi").select(
+        *KEY, F.concat(c("voucher_id"), F.lit("#ACCT1")).alias("entry_id"), "copies")
+    duplicates = repeats.unionByName(service_repeats).select(
+        *KEY, row_id(c("company_id"), c("voucher_id"), c("entry_id")).alias("row_id"), F.lit("DUPLICATE_ROW_ID").alias("reason"), (c("copies") - 1).alias("copies"))
+    whole = rejected_vouchers(vouchers, stock_lines, ledger_lines).select(
+        *KEY, F.lit(None).cast("string").alias("row_id"), "reason", F.lit(1).cast("bigint").alias("copies"))
     rows = stock.unionByName(synthetic).join(line_centre, KEY, "left")
 
     profile = classify_customers(party_profile(ledgers), classes)
@@ -224,7 +269,7 @@ def build_fact_sales(
         (c("_centre").isNull(), "SALESMAN_UNAVAILABLE"),
     ]
     quality = F.array_distinct(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in reasons])))
-    return rows.select(
+    facts = rows.select(
         row_id(c("company_id"), c("voucher_id"), c("entry_id")).alias("row_id"), "company_id", "voucher_id", "voucher_number", "voucher_date",
         "entry_id", "line", c("party").alias("customer"),
         F.when(c("is_accounting_invoice"), F.lit("Service")).otherwise(F.coalesce("group_master_name", "item_master_parent")).alias("grp"),
@@ -233,16 +278,22 @@ def build_fact_sales(
         c("ledger_customer_type").alias("customer_type"), "amount", "amount_with_charges", "quantity", "unit", "rate", "is_return",
         "is_accounting_invoice", "voucher_class", F.coalesce("ledger_city_confidence", F.lit("none")).alias("city_confidence"),
         quality.alias("data_quality"))
+    return FactBuild(facts, whole.unionByName(duplicates))
+
+
+def build_fact_sales(*tables: DataFrame, salesman_enabled: bool = True) -> DataFrame:
+    """The fact rows of ``build_facts``."""
+    return build_facts(*tables, salesman_enabled=salesman_enabled).facts
 
 
 def fact_stats(facts: DataFrame, vouchers: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row: vouchers, rows, rejects, net and charged totals, and the gross of distinct vouchers."""
+    """One row: vouchers, rows, rejects (with copies), net and charged totals, and the gross of the vouchers' first arrivals."""
     distinct = facts.select(*KEY).distinct()
-    gross = vouchers.join(distinct, KEY, "left_semi").agg(
+    gross = live_vouchers(vouchers).join(distinct, KEY, "left_semi").agg(
         F.count(F.lit(1)).alias("vouchers"), F.sum("amount").cast("double").alias("gross_vouchers"))
     own = facts.agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").cast("double").alias("net"),
                     F.sum("amount_with_charges").cast("double").alias("with_charges"))
-    rej = rejected.agg(F.count(F.lit(1)).alias("rejected"))
+    rej = rejected.agg(F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("rejected"))
     return own.select("rows", "net", "with_charges", gross.select("vouchers").scalar().alias("vouchers"),
                       gross.select("gross_vouchers").scalar().alias("gross_vouchers"), rej.scalar().alias("rejected"))
 

@@ -49,6 +49,39 @@ def test_xml_to_facts(spark, tmp_path):
     assert sum(r["amount_with_charges"] for r in rows.values()) == Decimal("15000.00")
 
 
+def test_a_voucher_that_comes_twice_gives_its_rows_once(spark):
+    voucher = lambda n, amount, cancelled=False: ("CO1", "v1", n, "Sales", "2024-01-05", "Acme", Decimal(amount), cancelled, False)
+    vouchers = "company_id string, voucher_id string, voucher_number string, voucher_type string, voucher_date string, party string, amount decimal(18,2), is_cancelled boolean, is_optional boolean"
+    stock = "company_id string, voucher_id string, entry_id string, line bigint, item string, quantity decimal(18,3), unit string, rate string, amount decimal(18,2), is_credit boolean, cost_centre string"
+    ledger = "company_id string, voucher_id string, line bigint, ledger string, amount decimal(18,2), is_credit boolean, cost_centre string"
+    line = lambda co, v, e, item, amount: (co, v, e, 1, item, Decimal(1), "Nos", "1", Decimal(amount), True, None)
+    tax = lambda co, v, amount: (co, v, 1, "Output IGST", Decimal(amount), True, None)
+    none = {"ledgers": "company_id string, source_object_id string, name string, parent string, country string, state string, address_lines array<string>, closing_balance decimal(18,2)",
+            "items": "company_id string, source_object_id string, name string, parent string", "groups": "company_id string, source_object_id string, name string, parent string",
+            "centres": "company_id string, source_object_id string, name string", "classes": "company_id string, ledger_id string, tier string, customer_type string, source string, updated_at string"}
+    masters = [spark.createDataFrame([], x) for x in none.values()]
+    types = spark.createDataFrame([("Sales", "Sales")], "name string, parent string")
+
+    def build(v, s, l, arrivals=None):
+        frames = [spark.createDataFrame(rows, schema) for rows, schema in ((v, vouchers), (s, stock), (l, ledger))]
+        if arrivals:
+            frames = [spark.createDataFrame([(*r, n) for r, n in zip(rows, arrivals[i])], schema + ", arrival int") for i, (rows, schema) in enumerate(((v, vouchers), (s, stock), (l, ledger)))]
+        b = ft.build_facts(*frames, *masters, types)
+        return sorted((r["company_id"], r["entry_id"], r["item"], float(r["amount_with_charges"])) for r in b.facts.collect()), sorted((r["voucher_id"], r["reason"], r["copies"]) for r in b.rejected.collect())
+
+    lines, taxes = [line("CO1", "v1", "e1", "Rod", 60), line("CO1", "v1", "e2", "Wire", 40)], [tax("CO1", "v1", 10)]
+    once = build([voucher("1", 110)], lines, taxes)
+    assert once == ([("CO1", "e1", "Rod", 66.0), ("CO1", "e2", "Wire", 44.0)], [])
+    assert build([voucher("1", 110)] * 3, lines * 3, taxes * 3) == (once[0], [("v1", "DUPLICATE_ROW_ID", 2)] * 2)
+    later = [line("CO1", "v1", "e1", "Aaa", 1), line("CO1", "v1", "e2", "Bbb", 1)]
+    assert build([voucher("1", 110), voucher("0", 9)], lines + later, taxes + [tax("CO1", "v1", 99)], [[1, 2], [1, 1, 2, 2], [1, 2]]) == (once[0], [("v1", "DUPLICATE_ROW_ID", 1)] * 2)
+    other = [("CO2", *voucher("1", 110)[1:])]
+    both = build([voucher("1", 110), *other], lines + [("CO2", *x[1:]) for x in lines], taxes + [("CO2", *x[1:]) for x in taxes])
+    assert len(both[0]) == 4 and both[1] == [], "the same ids in another company are other rows"
+    service = build([voucher("1", 110)] * 2, [], [])
+    assert [x[1] for x in service[0]] == ["v1#ACCT1"] and service[1] == [("v1", "DUPLICATE_ROW_ID", 1)]
+
+
 def test_bad_responses_are_reported(spark, tmp_path):
     for name, text in {"a": "", "b": "<ENVELOPE><LINEERROR>no company</LINEERROR></ENVELOPE>", "c": "<HTML/>", "d": XML}.items():
         (tmp_path / f"{name}.xml").write_text(text or "\n")
