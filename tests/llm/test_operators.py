@@ -153,7 +153,6 @@ def test_token_files_round_trip(spark, docs, none, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     odd = ["a  b", " lead", "trail ", "x\n\ny z", "tab\tin it", "don't 123 45 <|endoftext|> ok", "line\nnext word\nlast", "   "]
     df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
     for frame, source in ((df, list(enumerate(odd))), (docs, texts)):
