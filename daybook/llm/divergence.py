@@ -12,6 +12,7 @@ its rows in order, which is the tree depth first: only the path from the root is
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,24 +33,18 @@ CORRECTED = "lang string, source string, item string, high long, low long"
 DOCUMENT = 1 << 40
 
 
-def _counted(batches: Iterable[pa.RecordBatch], most: int = 800_000) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterable[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each (lang, source, term), summed until ``most`` are held; '' marks the group itself."""
     held: dict[tuple[str, str], dict[bytes, int]] = {}
     size = 0
 
-    def given() -> pa.RecordBatch:
-        cols: list[list] = [[], [], [], []]
+    def given() -> Iterator[pa.RecordBatch]:
         for (lang, source), terms in held.items():
-            cols[0] += [lang] * len(terms)
-            cols[1] += [source] * len(terms)
-            cols[2] += terms
-            cols[3] += terms.values()
+            counts = np.fromiter(terms.values(), np.int64, len(terms))
+            group = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+            names = pa.array(terms, pa.binary()).cast(pa.string())
+            yield pa.record_batch([*group, names, pa.array(counts % DOCUMENT), pa.array(counts // DOCUMENT)], names=["lang", "source", "term", "n", "df"])
         held.clear()
-        counts = np.array(cols[3], dtype=np.int64)
-        terms = pa.array(cols[2], pa.binary()).cast(pa.string())
-        return pa.record_batch(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), terms, pa.array(counts % DOCUMENT), pa.array(counts // DOCUMENT)],
-            names=["lang", "source", "term", "n", "df"])
 
     for batch in batches:
         langs, sources = batch.column(0), batch.column(1)
@@ -57,17 +52,14 @@ def _counted(batches: Iterable[pa.RecordBatch], most: int = 800_000) -> Iterator
         for i in range(batch.num_rows):
             terms = held.setdefault((langs[i].as_py(), sources[i].as_py()), {b"": 0})
             size -= len(terms)
-            once: dict[bytes, int] = {}
-            for t in texts[i].as_py().translate(TERM_BYTES).split():
-                once[t] = once.get(t, DOCUMENT) + 1
-            for t, n in once.items():
-                terms[t] = terms.get(t, 0) + n
+            get = terms.get
+            for t, n in Counter(texts[i].as_py().translate(TERM_BYTES).split()).items():
+                terms[t] = get(t, 0) + n + DOCUMENT
             size += len(terms)
             if size > most:
-                yield given()
+                yield from given()
                 size = 0
-    if held:
-        yield given()
+    yield from given()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
