@@ -291,9 +291,11 @@ class Mirror:
             tombstoned, refused = (0 if gone.refused else gone.vanished), gone.refused
             rows = rows.unionByName(gone.rows, allowMissingColumns=True)
         self._write(rows, "delta", version)
-        self._commit(writer, number, version, "delta")
+        # A batch that changed nothing has no files; it is committed, but no state reads it.
+        filled = any(n.startswith("co=") for n in self._names(f"{self.path}/kind=delta/version={version}"))
+        self._commit(writer, number, version, "delta" if filled else "empty")
         classified.unpersist()
-        if len({r["version"] for r in self._listed() if r["kind"] == "delta"}) >= self.compact_every:
+        if len({r["version"] for r in self._listed() if r["kind"] in ("delta", "empty")}) >= self.compact_every:
             self.compact(version)
         skipped = skipped_without_id(batch).count()
         return self.spark.createDataFrame([(*stats, skipped, tombstoned, refused)],

@@ -175,6 +175,16 @@ def test_a_batch_that_was_not_committed_is_not_read(spark, tmp_path):
     assert names(m) == {"a": "A2"} and m.version_of(2, "w") == version and m.version_of(3, "w") == version + 1
 
 
+def test_a_batch_without_changes_after_a_compaction(spark, tmp_path):
+    m = Mirror(spark, str(tmp_path), "v")
+    m.apply(batch(spark, [("a", "A", 1)]), 1, "r1")
+    m.compact(1)
+    assert m.apply(batch(spark, [("a", "A", 2)]).drop("alter_id").withColumn("alter_id", F.lit(1).cast("bigint")), 2, "r2").first()["unchanged"] == 1
+    assert names(m) == {"a": "A"} and m.read("CO1").count() == 1
+    assert m.apply(batch(spark, [("a", "A3", 3)]), 3, "r3").first()["updated"] == 1
+    assert names(m) == {"a": "A3"}
+
+
 def test_a_full_read_of_one_company_leaves_the_others(spark, tmp_path):
     m = Mirror(spark, str(tmp_path), "v")
     m.apply(vouchers(spark, [(co, k, 1, 1, 1) for co in ("A", "B", None) for k in "xyz"]), 1, "r1")
