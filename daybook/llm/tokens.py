@@ -1,81 +1,90 @@
-"""Token ids of whole texts with a byte-level BPE of the tokenizers library, each distinct word encoded once per worker.
+"""Token ids of whole texts with a byte-level BPE of the tokenizers library, each distinct word encoded once per worker
+while a bounded table has room for it.
 
 Byte-level BPE cuts a text before a single space between two visible characters, and around a single line break between
-them, whatever stands on either side. A text is split there, words met before are looked up, new ones go to the library
-in one batch. Texts with other white space are cut only at spaces between visible characters. Texts that hold one of the
-tokenizer's added tokens go to the library whole.
+them, whatever stands on either side. A text is split there into pieces that keep their space, pieces met before are
+looked up, new ones go to the library in one batch, many to a text. Texts with other white space are cut only at spaces
+between visible characters. Texts that hold one of the tokenizer's added tokens go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
-INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: White space besides the space and the line break.
-OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-#: Words remembered by a Python worker; further ones are encoded again in each batch that holds them.
-REMEMBERED = 900_000
+INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: A text with none of these, and visible characters at both ends, is words with one space or line break between them.
+NOT_PLAIN = ["\0", "  ", " \n", "\n ", "\n\n"] + [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Bytes of the pieces that a Python worker remembers, with the overhead of their objects; others are encoded again in each batch.
+REMEMBERED = 64 << 20
+OVERHEAD = 190
+#: Words that go to the library as one text.
+JOINED = 128
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.newline = self.whole(["\n"])[0]
+        self.table: dict[str, bytes] = {}
+        self.room = remembered
+        # Byte-level vocabularies write the space as U+0120; only a word's first token can begin with it.
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         out = []
         for i in range(0, len(texts), 5000):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False)]
         return out
 
-    def known(self, table: dict[str, bytes], words: set[str], prefix: str) -> dict[str, bytes]:
-        new = [w for w in words if w not in table]
-        ids = dict(zip(new, self.whole([prefix + w for w in new]), strict=True))
-        if len(table) + len(ids) <= REMEMBERED:
-            table.update(ids)
-            return table
-        return {w: table[w] if w in table else ids[w] for w in words}
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with their space and hold no other: encoded many to a text and cut where a space begins."""
+        out = []
+        for i in range(0, len(words), JOINED):
+            group = words[i : i + JOINED]
+            raw = self.whole(["".join(group)])[0]
+            at = (np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]) * 4).tolist()
+            out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)] if len(at) == len(group) else self.whole(group)
+        return out
+
+    def added_to(self, new: dict[str, bool]) -> dict[str, bytes]:
+        """Ids of new pieces (true: a plain word with its space), remembered while there is room."""
+        plain, other = [w for w, p in new.items() if p], [w for w, p in new.items() if not p]
+        ids = dict(zip(plain, self.words(plain), strict=True)) | dict(zip(other, self.whole(other), strict=True))
+        for piece, raw in ids.items():
+            cost = OVERHEAD + len(piece.encode()) + len(raw)
+            if cost <= 512 and cost <= self.room:
+                self.table[piece] = raw
+                self.room -= cost
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        first: set[str] = set()
-        later: set[str] = set()
-        kept_whole = [t for t in texts if any(a in t for a in self.added)]
-        ids_of_whole = dict(zip(kept_whole, self.whole(kept_whole), strict=True))
-        for t in texts:
-            if t in ids_of_whole:
-                cut.append(t)
+        found, gaps, new = [], [], {}
+        for n, t in enumerate(texts):
+            if any(a in t for a in self.added):
+                found.append(self.whole([t]))
                 continue
-            plain = len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(c in t for c in OTHER_SPACE)
-            lines = [line.split(" ") for line in t.split("\n")] if plain else [INNER_SPACE.split(t)]
-            for words in lines:
-                first.add(words[0])
-                later.update(words[1:])
-            cut.append(lines)
-        a, b = self.known(self.first, first, ""), self.known(self.later, later, " ")
-        out = []
-        for lines in cut:
-            if isinstance(lines, str):
-                out.append(ids_of_whole[lines])
-                continue
-            parts: list[bytes] = []
-            for k, words in enumerate(lines):
-                if k:
-                    parts.append(self.newline)
-                parts.append(a[words[0]])
-                parts.extend(map(b.__getitem__, words[1:]))
-            out.append(b"".join(parts))
-        return out
+            plain = t != "" and not t[0].isspace() and not t[-1].isspace() and not any(c in t for c in NOT_PLAIN)
+            pieces = t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if plain else INNER_SPACE.split(t)
+            ids = list(map(self.table.get, pieces))
+            if None in ids:
+                missing = [i for i, raw in enumerate(ids) if raw is None]
+                gaps.append((n, missing, [pieces[i] for i in missing]))
+                new.update((pieces[i], plain and pieces[i][0] == " ") for i in missing)
+            found.append(ids)
+        fresh = self.added_to(new)
+        for n, missing, pieces in gaps:
+            for i, piece in zip(missing, pieces, strict=True):
+                found[n][i] = fresh[piece]
+        return list(map(b"".join, found))
 
 
 def encoder(path: str) -> Encoder:
