@@ -53,7 +53,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_id")
 
 
 def size_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

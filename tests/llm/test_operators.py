@@ -195,25 +195,25 @@ def test_decontamination_matches_brute_force(spark, docs, none, texts):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
     items = [(1, texts[2][1][30:200]), (2, "word"), (3, None), (4, "!!"), (5, "b c d"), (10, texts[3][1]), (10, texts[3][1]), (None, "x y z")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    hits: dict = {}
+    want = []
     for i, t in texts:
-        w = split(t)
+        w, places, names = split(t), set(), set()
         for item, own in items:
             v = split(own)
             for s in range(max(1, len(v) - 9)) if v else ():
                 x = v[s : s + 10]
                 for p in range(len(w) - len(x) + 1):
                     if w[p : p + len(x)] == x:
-                        h = hits.setdefault(i, (set(), set()))
-                        h[0].update(range(p, p + len(x)))
-                        h[1].update([str(item)] if item is not None else [])
+                        places.update(range(p, p + len(x)))
+                        names.update([str(item)] if item is not None else [])
+        want.append((i, len(w), len(places), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(places)))
+    by_text = lambda r: tuple(map(str, r))
+    clean = spark.createDataFrame([(1, items[0][1]), (1, "clean words only"), (None, "x y z"), (None, "clean")], "doc_id long, text string")
     for kw in ({}, {"broadcast_rows": 0}):
-        got = rows(decontaminate.contaminated_words(docs, bench, **kw))
-        assert len(got) == len(texts)
-        for i, n, n_hit, n_items, sha, bad in got:
-            p, names = hits.get(i, (set(), set()))
-            assert (n_hit, n_items, bad) == (len(p), len(names), bool(p)), (i, kw)
-            assert sha == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        seen = {(r.doc_id, r.n_words): (r.n_hit, r.contaminated) for r in decontaminate.contaminated_words(clean, bench, **kw).collect()}
+        assert seen[1, 3] == (0, False) and seen[None, 1] == (0, False) and seen[None, 3] == (3, True) and sum(c for _, c in seen.values()) == 2
+        got = rows(decontaminate.contaminated_words(docs, bench, **kw).drop("text_id"))
+        assert sorted(map(tuple, got), key=by_text) == sorted(want, key=by_text), kw
     assert rows(decontaminate.contaminated_words(none, bench)) == []
     assert decontaminate.contaminated_words(docs, bench.limit(0)).where("contaminated").count() == 0
 
