@@ -2,7 +2,7 @@
 
 *Index.* A set files itself under its first shingles in one global order, as many as make sure that two similar sets
 share one; frequent shingles come last in that order, the most frequent at its end. A posting carries the set's size and
-the shingle's position in it, and whole blocks of a list are skipped by size and position: what is left from the position
+the shingle's position in it, and pairs of a list are left out by size and position where what is left from the position
 on cannot reach the overlap asked for.
 
 *Answers.* Equal sets are one. In each list the first set is compared with the others, and what it answers holds for
@@ -16,11 +16,12 @@ hold frequent shingles or belong to a candidate pair; bitmaps of a fixed size sa
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.common import staged
@@ -88,29 +89,42 @@ def ordered(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; ``texts`` (sid, packed) has every set named."""
     def f(batches):
-        held, room = {}, 1 << 22  # shingles kept for pairs that name the same set again
+        held, room = {}, 1 << 21  # shingles kept for pairs that name the same set again
 
         def of(sid, packed):
             nonlocal room
             if sid not in held:
-                s = shingles(zlib.decompress(packed).decode(), k)
+                s = shingles(zlib.decompress(packed.as_py()).decode(), k)
                 room -= len(s)
                 if room < 0:
                     held.clear()
-                    room = (1 << 22) - len(s)
+                    room = (1 << 21) - len(s)
                 held[sid] = s
             return held[sid]
 
-        for frame in batches:
+        for batch in batches:
+            a, b, one, two = batch.columns
             ok = []
-            for a, b, one, two in zip(frame.a, frame.b, frame.one, frame.two, strict=True):
-                x, y = of(a, one), of(b, two)
+            for i, (p, q) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+                x, y = of(p, one[i]), of(q, two[i])
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * n >= threshold * (len(x) + len(y) - n))
-            yield frame.loc[ok, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one, two = texts.select(F.col("sid").alias("a"), F.col("packed").alias("one")), texts.select(F.col("sid").alias("b"), F.col("packed").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInPandas(f, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(f, "a long, b long")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Fewer rows in a batch for Python while whole texts are in it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def join(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64, hot_most: int = 100_000) -> DataFrame:
@@ -122,6 +136,16 @@ def join(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64, h
     No rows give no rows. ``hot_from`` and ``hot_most`` bound the table of frequent shingles that the order puts last;
     they change the work, not the result.
     """
+    classed = classes(docs, k, threshold, hot_from, hot_most)
+    least = classed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return classed.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def classes(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64, hot_most: int = 100_000) -> DataFrame:
+    """doc_id, text_id (xxhash64 of the text, null as empty), n_shingles, part for every row of ``docs``, as in ``join``.
+
+    ``part`` names the group of linked sets; it is null where the set is empty.
+    """
     context = docs.sparkSession.sparkContext
     text = F.coalesce("text", F.lit(""))
     read = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_id"))
@@ -215,7 +239,9 @@ def join(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64, h
         taken = read.select("text_id", "text").mapInPandas(packed, "text_id long, packed binary").dropDuplicates(["text_id"])
         return staged(taken.join(named, "text_id").select("sid", "packed"), "set-texts")
 
-    links = staged(linked_pairs(stars, packed_texts(stars), k, threshold), "links")
+    packed = packed_texts(stars)
+    with small_batches(docs.sparkSession, 500):
+        links = staged(linked_pairs(stars, packed, k, threshold), "links")
     parts = components(links.select(c("a").alias("u"), c("b").alias("v")))
 
     # Lists whose sets are still in several components, compared pair by pair but for their heads.
@@ -230,10 +256,10 @@ def join(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64, h
     more = x.join(y, (c("x.token") == c("y.token")) & (c("x.sid") < c("y.sid")) & (c("x.part") != c("y.part")) & reaches(*places, before=True)).groupBy(
         c("x.sid").alias("a"), c("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn"), F.max(reaches(*places)).alias("first")).where(wide & c("first")).select("a", "b")
     more = staged(more.join(stars, ["a", "b"], "left_anti"), "more-pairs")
-    found = staged(linked_pairs(more, packed_texts(more), k, threshold), "more-links")
+    packed = packed_texts(more)
+    with small_batches(docs.sparkSession, 500):
+        found = staged(linked_pairs(more, packed, k, threshold), "more-links")
     if found.limit(1).count():
         parts = components(links.unionByName(found).select(c("a").alias("u"), c("b").alias("v")))
 
-    classed = rows.join(parts, rows.sid == parts.node, "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("part"))
-    least = classed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return classed.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(parts, rows.sid == parts.node, "left").select("doc_id", "text_id", "n_shingles", F.coalesce("component", "sid").alias("part"))
