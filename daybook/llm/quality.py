@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daybook.llm.common import staged
+
 MARKS = b".,;:!?|#*/<>=\"'()[]{}_-%&@"
 UPPER, DIGIT, SPACE, HIGH = (np.isin(np.arange(256), np.array(list(x))) for x in (range(65, 91), range(48, 58), (9, 10, 13, 32), range(128, 256)))
 
@@ -37,62 +39,118 @@ def measures(text: str | None) -> np.ndarray:
         np.minimum(1, count[list(MARKS)] / w)])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 3000, rate: float = 0.03, decay: float = 1e-4, batch: int = 1024, seed: int = 1) -> dict:
-    """Weights over standardised measures and their squares, by Adam on the non-negative risk."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    spread = lambda m: np.concatenate([z := np.clip((m - mean) / scale, -6, 6), z * z - 1, np.ones((len(m), 1))], axis=1)
-    p, u, rng = spread(positive), spread(unlabelled), np.random.default_rng(seed)
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def spread(m: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised measures, their squares and a constant."""
+    z = np.clip((m - mean) / scale, -6, 6)
+    return np.concatenate([z, z * z - 1, np.ones((len(m), 1))], axis=1)
+
+
+def descend(p: np.ndarray, u: np.ndarray, pw: np.ndarray, uw: np.ndarray, gradient, steps: int, rate: float = 0.03, decay: float = 1e-4, batch: int = 1024, seed: int = 1) -> np.ndarray:
+    """Weights by Adam on batches of both sides, drawn in proportion to ``pw`` and ``uw``."""
+    rng = np.random.default_rng(seed)
     w = np.zeros(p.shape[1])
     first, second = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    upto_p, upto_u = np.cumsum(pw) / np.sum(pw), np.cumsum(uw) / np.sum(uw)
+    draw = lambda x, upto: x[np.minimum(np.searchsorted(upto, rng.random(batch), side="right"), len(x) - 1)]
     for step in range(1, steps + 1):
-        a, b = p[rng.integers(len(p), size=batch)], u[rng.integers(len(u), size=batch)]
-        sa, sb = sig(a @ w), sig(b @ w)
+        g = gradient(draw(p, upto_p), draw(u, upto_u), w) + decay * w
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8) * min(1, 2 - 2 * step / steps)
+    return w
+
+
+def told_apart(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient of the plain risk of positives against unlabelled, half each."""
+    return 0.5 * (a.T @ (sigmoid(a @ w) - 1) / len(a) + b.T @ sigmoid(b @ w) / len(b))
+
+
+def estimated_prior(p: np.ndarray, u: np.ndarray, pw: np.ndarray, uw: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, by the best bin of a score that tells the two apart.
+
+    The score is fitted on every other row and read on the rest. Above any score the unlabelled hold at least the prior
+    times the positives' share there; the threshold with the smallest upper confidence bound of the ratio of the two
+    shares gives the estimate. Kept within 0.05 and 0.95.
+    """
+    w = descend(p[::2], u[::2], pw[::2], uw[::2], told_apart, 800)
+    sp, su, pw, uw = p[1::2] @ w, u[1::2] @ w, pw[1::2], uw[1::2]
+    at = np.unique(sp)
+    above = lambda s, v: (lambda o: 1 - np.concatenate([[0], np.cumsum(v[o])])[np.searchsorted(s[o], at)] / v.sum())(np.argsort(s, kind="stable"))
+    qp, qu = above(sp, pw), above(su, uw)
+    # Rows in effect, where copies weigh more than one.
+    slack = sum(np.sqrt(np.log(4 / delta) / 2 * (v * v).sum() / v.sum() ** 2) for v in (pw, uw))
+    ok = qp > 0
+    best = np.argmin((qu[ok] + slack * (1 + qu[ok] / qp[ok])) / qp[ok]) if ok.any() else None
+    return 0.5 if best is None else float(np.clip(qu[ok][best] / qp[ok][best], 0.05, 0.95))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, pw: np.ndarray | None = None, uw: np.ndarray | None = None, prior: float | None = None, steps: int = 3000) -> dict:
+    """A model by the non-negative risk; the prior is estimated where none is given. ``pw`` and ``uw`` count copies of a row."""
+    pw = np.ones(len(positive)) if pw is None else pw.astype(float)
+    uw = np.ones(len(unlabelled)) if uw is None else uw.astype(float)
+    both, weights = np.concatenate([positive, unlabelled]), np.concatenate([pw, uw])
+    mean = np.average(both, axis=0, weights=weights)
+    scale = np.sqrt(np.average((both - mean) ** 2, axis=0, weights=weights)) + 1e-6
+    p, u = spread(positive, mean, scale), spread(unlabelled, mean, scale)
+    if prior is None:
+        prior = estimated_prior(p, u, pw, uw) if min(len(p), len(u)) > 1 else 0.5
+
+    def non_negative(a, b, w):
+        sa, sb = sigmoid(a @ w), sigmoid(b @ w)
         as_positive = a.T @ (sa - 1) / len(a)
         as_negative = b.T @ sb / len(b) - prior * (a.T @ sa / len(a))
         risk = -np.log(1 - sb + 1e-12).mean() + prior * np.log(1 - sa + 1e-12).mean()
-        g = -as_negative if risk < 0 else prior * as_positive + as_negative
-        g = g + decay * w
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8) * min(1, 2 - 2 * step / steps)
-    return {"mean": mean, "scale": scale, "w": w}
+        return -as_negative if risk < 0 else prior * as_positive + as_negative
+
+    return {"mean": mean, "scale": scale, "prior": prior, "w": descend(p, u, pw, uw, non_negative, steps)}
 
 
 def score_of(model: dict | None, m: np.ndarray) -> np.ndarray:
-    if model is None:
-        return np.full(len(m), 0.5)
-    z = np.clip((m - model["mean"]) / model["scale"], -6, 6)
-    return 1 / (1 + np.exp(-np.clip(np.concatenate([z, z * z - 1, np.ones((len(m), 1))], axis=1) @ model["w"], -30, 30)))
+    return np.full(len(m), 0.5) if model is None else sigmoid(spread(m, model["mean"], model["scale"]) @ model["w"])
 
 
-def _measured(text: Column) -> Column:
-    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series([measures(t) for t in b])
-    return F.pandas_udf(f, "array<double>")(text)
+def draw(known: DataFrame, most_positive: int, most_unlabelled: int) -> DataFrame:
+    """h, p, u: the different texts that are drawn, with the rows each stands for as a positive and as an unlabelled one.
+
+    ``known`` has h (a hash of the text) and good. Texts with the smallest stirred hashes are taken, so a text comes once
+    however often it is copied, and there is a draw wherever there are rows.
+    """
+    texts = staged(known.groupBy("h").agg(F.count(F.when(F.col("good"), 1)).alias("good"), F.count("*").alias("n")), "different-texts")
+    positive = texts.where("good > 0").orderBy(F.xxhash64("h", F.lit(3)), "h").limit(most_positive).select("h", F.col("good").alias("p"), F.lit(0).cast("long").alias("u"))
+    unlabelled = texts.orderBy(F.xxhash64("h", F.lit(4)), "h").limit(most_unlabelled).select("h", F.lit(0).cast("long").alias("p"), F.col("n").alias("u"))
+    return positive.unionByName(unlabelled).groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
-def learn(labelled: DataFrame, most_positive: int = 8000, most_unlabelled: int = 16000) -> dict | None:
-    """A model from ``labelled`` (text, quality): 1 marks trusted positives; the rest, null or 0, is the unlabelled web.
+def learn(docs: DataFrame, judged: DataFrame, most_positive: int = 8000, most_unlabelled: int = 16000) -> dict | None:
+    """A model from ``docs`` (doc_id, text) and ``judged`` (doc_id, quality): 1 marks trusted positives.
 
-    The share of positives in the unlabelled is estimated from the rows that were judged at all. The two bounds limit
-    what is drawn, by hash of the text, and sent to the driver as measures. None where there are no positives.
+    Every row of ``docs`` is unlabelled web; positives are drawn besides, and other labels are not used. The share of
+    positives in the unlabelled is estimated from the scores of the two samples. The two bounds limit the different texts
+    drawn and sent to the driver as measures; copies count as weights. Only hashes of texts meet ``judged``; the texts drawn
+    are read again by a broadcast of at most the two bounds' rows. A repeated doc_id takes 1 if any of its labels is 1, a
+    null one has none. None where there are no positives.
     """
-    known = labelled.select("text", "quality", F.xxhash64("text").alias("h"))
-    good = F.coalesce(F.col("quality") == 1, F.lit(False))
-    n = known.agg(F.count(F.when(good, 1)), F.count(F.when(~good, 1)), F.count("quality")).first()
-    if not n[0] or not n[1]:
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    good = judged.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
+    known = docs.select("doc_id", h.alias("h")).join(good, "doc_id", "left").select("h", F.coalesce("good", F.lit(False)).alias("good"))
+    drawn = staged(draw(known, most_positive, most_unlabelled), "drawn-texts")
+
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # at most the texts drawn
+        for f in frames:
+            f = f[~f.h.isin(seen) & ~f.h.duplicated()]
+            seen.update(f.h)
+            yield pd.DataFrame({"h": f.h, "m": [measures(t) for t in f.text]})
+
+    taken = docs.select(h.alias("h"), "text").join(F.broadcast(drawn.select("h")), "h").mapInPandas(measured, "h long, m array<double>")
+    rows = taken.groupBy("h").agg(F.min("m").alias("m")).join(drawn, "h").orderBy("h").collect()
+    p, u = [r for r in rows if r.p], [r for r in rows if r.u]
+    if not p or not u:
         return None
-    prior = min(0.95, max(0.05, n[0] / n[2]))
-    share = F.when(good, min(1.0, most_positive / n[0])).otherwise(min(1.0, most_unlabelled / (n[0] + n[1])))
-    # The unlabelled are drawn from all texts, so that their share of positives is the prior.
-    bits = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    other = F.pmod(F.xxhash64("h", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.select("text", (good & (bits < share)).alias("p"), (other < min(1.0, most_unlabelled / (n[0] + n[1]))).alias("u")).where("p or u")
-    rows = drawn.select("p", "u", _measured(F.col("text")).alias("m")).collect()
-    m = np.array([r.m for r in rows])
-    return fit(m[[r.p for r in rows]], m[[r.u for r in rows]], prior) if any(r.p for r in rows) and any(r.u for r in rows) else None
+    return fit(np.array([r.m for r in p]), np.array([r.m for r in u]), np.array([r.p for r in p]), np.array([r.u for r in u]))
 
 
 def scored(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -34,8 +34,7 @@ def vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
-    known = docs.where(~held_out()).join(judged, "doc_id", "left").select("text", "quality")
-    return quality.scored(docs, quality.learn(known)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return quality.scored(docs, quality.learn(docs.where(~held_out()), judged)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def tokenizer_path() -> str:

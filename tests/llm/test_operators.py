@@ -13,6 +13,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from daybook.llm import decontaminate, embeddings, jaccard, language, packing, quality, secrets, sharding, substrings, wavelet
 from daybook.llm.queries import tokenizer_path
@@ -140,15 +141,27 @@ def test_quality_learns_from_positives(spark, none):
     rng = random.Random(3)
     good = [prose(rng, 80) for _ in range(150)]
     bad = [" | ".join(prose(rng, 1) for _ in range(80)) for _ in range(100)]
-    train = spark.createDataFrame([(t, 1) for t in good[:80]] + [(t, None) for t in good[80:120]] + [(t, 0 if i % 3 else None) for i, t in enumerate(bad[:70])] + [(None, None), (None, 1)], "text string, quality int")
-    model = quality.learn(train)
+    train = [(t, 1) for t in good[:80]] + [(t, None) for t in good[80:120]] + [(t, 0 if i % 3 else None) for i, t in enumerate(bad[:70])] + [(None, None), (None, 1)]
+    own = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(train)] + [(None, good[0]), (3, bad[3])], "doc_id long, text string")
+    judged = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(train)] + [(3, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    model = quality.learn(own, judged)
+    assert 0.4 < model["prior"] < 0.8  # 121 of 194 rows
     test = spark.createDataFrame([(t, 1) for t in good[120:]] + [(t, 0) for t in bad[70:]] + [(None, None), ("", None)], "text string, score int")
     got = rows(quality.scored(test, model).select("text", "score", "predicted"))
     assert all(0 <= s <= 1 for _, s, _ in got) and [p for *_, p in got[:60]] == [1] * 30 + [0] * 30
-    assert quality.learn(train.where("quality = 0")) is None
+    assert quality.learn(own, judged.where("quality = 0")) is None and quality.learn(own.limit(0), judged) is None
     assert rows(quality.scored(none, model)) == []
 
 
+def test_quality_sample_of_copies_keeps_its_bound(spark):
+    """Copies of one positive come as one text with a weight, and never crowd out a model."""
+    known = spark.range(40_000).select((F.col("id") * 0 + 7).alias("h"), F.lit(True).alias("good")).unionByName(
+        spark.range(500).select((F.col("id") + 1000).alias("h"), F.lit(False).alias("good")))
+    drawn = {r.h: (r.p, r.u) for r in quality.draw(known, 80, 160).collect()}
+    assert drawn[7][0] == 40_000 and drawn[7][1] in (0, 40_000)
+    assert sum(1 for p, _ in drawn.values() if p) == 1 and sum(1 for _, u in drawn.values() if u) == 160
+
+
 def test_token_files_round_trip(spark, docs, none, texts):
     from tokenizers import Tokenizer
 
