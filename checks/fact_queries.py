@@ -301,7 +301,35 @@ for _kind, _parent in (("customers", "Sundry Debtors"), ("suppliers", "Sundry Cr
   (g.parent <> 'Primary')::BIGINT AS depth, coalesce(i.n, 0)::BIGINT AS items FROM groups g LEFT JOIN groups p ON p.name = g.parent LEFT JOIN (SELECT parent, count(*) AS n FROM items GROUP BY 1) i ON i.parent = g.name""")
 def _(spark, sf):
     b = books(spark, sf)
-    return ft.stock_group_tree(b.groups, b.items, max_depth=3).select("name", "root", "path", "depth", "items")
+    return ft.stock_group_tree(b.groups, b.items).select("name", "root", "path", "depth", "items")
+
+
+# Chains of 40 groups over the parts; the first two of every third chain are each other's parent.
+_DEEP = """WITH RECURSIVE n AS (SELECT p_partkey AS k, (p_partkey - 1) // 40 AS chain, (p_partkey - 1) % 40 AS place FROM part),
+g AS (SELECT 'Group ' || k AS name, CASE WHEN place > 0 THEN 'Group ' || (k - 1) WHEN chain % 3 = 2 THEN 'Group ' || (k + 1) ELSE 'Primary' END AS parent FROM n),
+w AS (SELECT name, name AS root, name AS path, 0::BIGINT AS depth FROM g WHERE parent NOT IN (SELECT name FROM g)
+      UNION ALL SELECT g.name, w.root, w.path || ' > ' || g.name, w.depth + 1 FROM g JOIN w ON g.parent = w.name),
+tree AS (SELECT name, root, path, depth, FALSE AS is_cyclic FROM w UNION ALL SELECT name, name, name, 0, TRUE FROM g WHERE name NOT IN (SELECT name FROM w)) """
+
+
+def deep_groups(spark, sf):
+    n = table(spark, sf, "part").select(c("p_partkey").alias("k"), F.floor((c("p_partkey") - 1) / 40).alias("chain"), ((c("p_partkey") - 1) % 40).alias("place"))
+    named = lambda k: F.concat(F.lit("Group "), k.cast("string"))
+    parent = F.when(c("place") > 0, named(c("k") - 1)).when(c("chain") % 3 == 2, named(c("k") + 1)).otherwise("Primary")
+    return n.select(F.lit("CO1").alias("company_id"), named(c("k")).alias("name"), parent.alias("parent"))
+
+
+@q("J12_stock_group_tree_deep", _DEEP + "SELECT t.*, coalesce(i.n, 0)::BIGINT AS items FROM tree t LEFT JOIN (SELECT 'Group ' || l_partkey AS name, count(*) AS n FROM lineitem GROUP BY 1) i USING (name)", books_prelude=False)
+def _(spark, sf):
+    items = table(spark, sf, "lineitem").select(F.lit("CO1").alias("company_id"), F.concat(F.lit("Group "), c("l_partkey").cast("string")).alias("parent"))
+    return ft.stock_group_tree(deep_groups(spark, sf), items).select("name", "root", "path", "depth", "is_cyclic", "items")
+
+
+@q("J12_stock_group_items", _DEEP + "SELECT l_orderkey || '-' || l_linenumber AS source_object_id, name AS grp, root, path FROM lineitem JOIN tree ON name = 'Group ' || l_partkey", books_prelude=False)
+def _(spark, sf):
+    items = table(spark, sf, "lineitem").select(F.lit("CO1").alias("company_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("source_object_id"),
+                                                F.lit("line").alias("name"), F.concat(F.lit("Group "), c("l_partkey").cast("string")).alias("parent"))
+    return ft.stock_group_items(deep_groups(spark, sf), items).select("source_object_id", "grp", "root", "path")
 
 
 @q("J13_fact_stats", _FACT + f"""SELECT (SELECT count(*) FROM facts) AS rows, (SELECT sum(amount)::DOUBLE FROM facts) AS net, (SELECT {r2('sum(wc::DECIMAL(18,2))')} FROM facts) AS with_charges,

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hierarchy import parent_chains
 from ..functions.classify import classify_ledger_role, coarse_role, ledger_class, resolve_voucher_type
 from ..functions.identity import name_key, row_id
 from ..functions.places import parse_city
@@ -298,21 +299,24 @@ def fact_stats(facts: DataFrame, vouchers: DataFrame, rejected: DataFrame) -> Da
                       gross.select("gross_vouchers").scalar().alias("gross_vouchers"), rej.scalar().alias("rejected"))
 
 
-def stock_group_tree(groups: DataFrame, items: DataFrame, max_depth: int = 10) -> DataFrame:
-    """name, root, path, depth and item count of every group; roots have parent Primary, none, or a missing one."""
-    node = groups.select("company_id", "name", name_key(c("name")).alias("_k"), name_key(F.coalesce("parent", F.lit(""))).alias("_p"))
-    node = node.groupBy("company_id", "_k").agg(F.max_by(F.struct("name", "_p"), c("name")).alias("m")).select("company_id", "_k", "m.*")
-    known = node.select("company_id", c("_k").alias("_p"), F.lit(True).alias("_known"))
-    node = node.join(known, ["company_id", "_p"], "left").withColumn(
-        "_p", F.when(c("_known") & ~c("_p").isin("", "primary") & (c("_p") != c("_k")), c("_p"))).drop("_known")
-    edge = node.select(c("company_id").alias("_ec"), c("_k").alias("_ek"), c("name").alias("_en"), c("_p").alias("_ep"))
-    walk = node.select("company_id", "_k", "name", c("_p").alias("_up"), c("name").alias("root"), c("name").alias("path"),
-                       F.lit(0).cast("bigint").alias("depth"))
-    for _ in range(max_depth):
-        walk = walk.join(edge, (c("company_id") == c("_ec")) & (c("_up") == c("_ek")), "left").select(
-            "company_id", "_k", "name", c("_ep").alias("_up"), F.coalesce("_en", "root").alias("root"),
-            F.when(c("_en").isNotNull(), F.concat_ws(" > ", "_en", "path")).otherwise(c("path")).alias("path"),
-            (c("depth") + c("_en").isNotNull().cast("bigint")).alias("depth"))
-    held = items.groupBy("company_id", name_key(c("parent")).alias("_k")).agg(F.count(F.lit(1)).alias("items"))
-    return walk.join(held, ["company_id", "_k"], "left").select(
-        "company_id", "name", "root", "path", "depth", F.coalesce("items", F.lit(0)).cast("bigint").alias("items"))
+def stock_group_tree(groups: DataFrame, items: DataFrame) -> DataFrame:
+    """name, root, path, depth, item count and is_cyclic of every group; roots have parent Primary, none, or a missing one.
+
+    Chains are followed to their end. A group whose chain runs into a cycle stands as a root with is_cyclic.
+    """
+    held = items.groupBy("company_id", name_key(c("parent")).alias("node")).agg(F.count(F.lit(1)).alias("items"))
+    return _group_chains(groups).join(held, ["company_id", "node"], "left").select(
+        "company_id", "name", "root", "path", "depth", F.coalesce("items", F.lit(0)).cast("bigint").alias("items"), "is_cyclic")
+
+
+def stock_group_items(groups: DataFrame, items: DataFrame) -> DataFrame:
+    """source_object_id, name, grp, root and path of every item that is filed under a known group: the leaves of the tree."""
+    leaves = items.select("company_id", "source_object_id", c("name").alias("item"), name_key(c("parent")).alias("node"))
+    return leaves.join(_group_chains(groups), ["company_id", "node"]).select(
+        "company_id", "source_object_id", c("item").alias("name"), c("name").alias("grp"), "root", "path")
+
+
+def _group_chains(groups: DataFrame) -> DataFrame:
+    node = groups.select("company_id", "name", name_key(c("name")).alias("node"), name_key(F.coalesce("parent", F.lit(""))).alias("parent"))
+    node = node.groupBy("company_id", "node").agg(F.max_by(F.struct("name", "parent"), c("name")).alias("m")).select("company_id", "node", "m.*")
+    return parent_chains(node.withColumn("parent", F.when(~c("parent").isin("", "primary"), c("parent"))), ["company_id"])
