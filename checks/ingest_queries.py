@@ -370,3 +370,19 @@ def _(spark, sf):
     return spark.table(name).select(F.date_format("month", "yyyy-MM").alias("month"), "flow", "vouchers", c("amount").cast("double").alias("amount"))
 
 
+@q("M08_register_with_retractions", """WITH l AS (SELECT user_id, max_by(ts + to_months((event_id % 3)::INTEGER), event_id) AS ts, max_by(event_type, event_id) AS et, max_by(floor(value), event_id) AS v FROM events GROUP BY 1)
+SELECT strftime(ts, '%Y-%m') AS month, CASE et WHEN 'purchase' THEN 'SALES' WHEN 'view' THEN 'PURCHASE' ELSE 'RECEIPT' END AS flow, count(*) AS vouchers, sum(v)::DOUBLE AS amount FROM l WHERE et <> 'error' GROUP BY 1, 2""")
+def _(spark, sf):
+    # Each event is a version of its user's voucher: dates move, amounts change, errors delete. Five files, a restart after two.
+    root = f"{ensure_checkpoint_dir(spark)}/daybook-retract-{uuid.uuid4().hex}"
+    kind = F.when(c("event_type") == "purchase", "Sales").when(c("event_type") == "view", "Purchase").otherwise("Receipt")
+    feed = table(spark, sf, "events").select(
+        L("CO1").alias("company_id"), c("user_id").cast("string").alias("source_object_id"), c("event_id").alias("alter_id"), kind.alias("voucher_type"),
+        F.add_months(c("ts").cast("date"), (c("event_id") % 3).cast("int")).alias("voucher_date"), F.floor("value").cast(MONEY).alias("amount"), L(False).alias("is_cancelled"), (c("event_type") == "error").alias("is_deleted"), (c("ts") < "2024-01-15").alias("is_early"))
+    types = spark.range(0).select(L("").alias("name"), L("").alias("parent"))
+    for early in (True, False):
+        part = feed.filter(c("is_early") == L(early))
+        part.repartitionByRange(2 if early else 3, "alter_id").write.mode("append").parquet(f"{root}/landing")
+        source = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+        cdc.register_stream(source, types, root).awaitTermination()
+    return cdc.read_register(spark, root).select(F.date_format("month", "yyyy-MM").alias("month"), "flow", "vouchers", c("amount").cast("double").alias("amount"))
