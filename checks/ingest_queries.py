@@ -218,7 +218,7 @@ def voucher_mirror(spark, sf):
     return m
 
 
-def ledger_mirror(spark, sf, keep=L(True)):
+def ledger_mirror(spark, sf, keep="true"):
     led = books(spark, sf).ledgers.drop("address_lines").withColumn("alter_id", L(1).cast("bigint"))
     m = mr.Mirror(spark, f"{ensure_checkpoint_dir(spark)}/daybook-mirror-{uuid.uuid4().hex}", "ledgers")
     m.apply(led.unionByName(led.withColumn("company_id", L("CO2"))), 1, "run-1")
