@@ -10,7 +10,7 @@ from daybook.operators.crosschecks import verify_cube
 from daybook.operators.cube import CITY, CUSTOMER, GROUP, ITEM, SALESMAN
 from daybook.plans import catalog as cat
 from daybook.plans import leaderboards
-from daybook.plans.runner import run_all, run_lens, run_lenses
+from daybook.plans.runner import run_all, run_lens
 from daybook.plans.verdict import contract_violations, verdict
 
 from .sql_analyses import S, brows, prow, rcells, vp
@@ -122,11 +122,6 @@ def _(spark, sf):
     return run_lens(cube_of(spark, sf), 6).filter("analysis_id = 'L06.A03'").select(*VERDICT_COLS)
 
 
-@q("A14_verdict_contract", "SELECT '' AS analysis_id, '' AS problem WHERE false")
-def _(spark, sf):
-    return contract_violations(run_lens(cube_of(spark, sf), 1))
-
-
 ALL_VERDICTS = " UNION ALL ".join(f"({lens_sql(lens)})" for lens in cat.LENSES)
 
 
@@ -137,29 +132,53 @@ def _(spark, sf):
     return run_all(cube_of(spark, sf)).select(*VERDICT_COLS).withColumn("coi", cb.F.round("coi", 0))
 
 
-# Boards are checked on the first three lenses (the scores do not depend on which lenses are ranked).
-_THREE = " UNION ALL ".join(f"({lens_sql(lens)})" for lens in (1, 2, 14))
-_PERSIST = """CASE WHEN severity = 'CRITICAL' THEN greatest(p, 4) ELSE p END"""
-_BOARD = f"""board AS (SELECT *, {_PERSIST} AS per FROM (SELECT *, CASE WHEN analysis_id = 'L14.A01' THEN least(5, greatest(1, assessed)) ELSE 3 END AS p
-  FROM ({_THREE})) WHERE status <> 'IDLE')"""
+_verdicts: dict = {}
+
+
+def all_verdicts(spark, sf):
+    """Verdicts of the whole catalogue; one row per entry, kept for the queries that read them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _verdicts:
+        _verdicts[key] = run_all(cube_of(spark, sf))
+    return _verdicts[key]
+
 
+# Verdict rows spoilt by slot, one rule after the other, next to the sound ones.
+_SPOILT = [(1, "analysis_id", "'X' || analysis_id", "bad id"), (2, "lens", "lens + 40", "lens out of range"), (3, "slot", "-slot", "slot not positive"),
+           (4, "status", "'PURPLE'", "unknown status"), (5, "severity", "'UTTER'", "unknown severity"), (6, "priority", "priority + 5", "priority out of range"),
+           (7, "headline", "CAST('Infinity' AS DOUBLE)", "headline not finite"), (8, "coi", "CAST('NaN' AS DOUBLE)", "coi not finite")]
+_SLOT = "CAST(substr(analysis_id, 6, 2) AS INT)"
 
-def _board(spark, sf):
-    return run_lenses(cube_of(spark, sf), [1, 2, 14])
+
+@q("A14_verdict_contract", f"""SELECT CASE WHEN {_SLOT} = 1 THEN 'X' || analysis_id ELSE analysis_id END AS analysis_id,
+  CASE {_SLOT} {' '.join(f"WHEN {n} THEN '{problem}'" for n, _, _, problem in _SPOILT)} END AS problem FROM ({ALL_VERDICTS}) WHERE {_SLOT} <= {len(_SPOILT)}""")
+def _(spark, sf):
+    sound = all_verdicts(spark, sf)
+    spoilt = [sound.filter(f"slot = {n}").withColumn(name, cb.F.expr(value)) for n, name, value, _ in _SPOILT]
+    rows = sound
+    for part in spoilt:
+        rows = rows.unionByName(part)
+    return contract_violations(rows)
+
+
+_PERSIST = """CASE WHEN severity = 'CRITICAL' THEN greatest(p, 4) ELSE p END"""
+# L14.A01 is the one analysis whose verdict counts months.
+_BOARD = f"""board AS (SELECT *, {_PERSIST} AS per FROM (SELECT *, CASE WHEN analysis_id = 'L14.A01' THEN least(5, greatest(1, assessed)) ELSE 3 END AS p
+  FROM ({ALL_VERDICTS})) WHERE status <> 'IDLE')"""
 
 
 @q("D01_owner_top5", f""", {_BOARD} SELECT row_number() OVER (ORDER BY score DESC, coalesce(coi, 0) DESC, analysis_id)::BIGINT AS rank, analysis_id, status, severity, score,
   {r2('coalesce(coi, 0) * 6')} AS financial_impact FROM (SELECT *, (sv * per * CASE WHEN sv >= 4 AND per >= 4 THEN 3 ELSE 2 END)::BIGINT AS score FROM (SELECT *,
   CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS sv FROM board)) QUALIFY rank <= 5""")
 def _(spark, sf):
-    return leaderboards.owner_top5(_board(spark, sf))
+    return leaderboards.owner_top5(all_verdicts(spark, sf))
 
 
 @q("D02_manager_top10", f""", {_BOARD} SELECT row_number() OVER (ORDER BY score DESC, impact DESC, analysis_id)::BIGINT AS rank, analysis_id, status, severity,
   {r2('impact')} AS impact, score FROM (SELECT *, {r("impact / 1000 * (CASE WHEN severity = 'CRITICAL' THEN 5 ELSE 4 END) * per * (CASE WHEN lens IN (1,3,4,6,7,8,10,11,13,14,15) THEN 5 ELSE 4 END)", 4)} AS score
   FROM (SELECT *, CAST(substr(analysis_id, 2, 2) AS INT) AS lens, greatest(100, coalesce(coi, CASE WHEN headline <> 0 THEN abs(headline) END, 1000)) AS impact FROM board)) QUALIFY rank <= 10""")
 def _(spark, sf):
-    return leaderboards.manager_top10(_board(spark, sf))
+    return leaderboards.manager_top10(all_verdicts(spark, sf))
 
 
 # --- pair, bridge, rank matrix, profile -------------------------------------------------
@@ -291,18 +310,19 @@ def _(spark, sf):
 
 # --- catalogue and cross-checks ---------------------------------------------------------
 
-_LENS_COUNTS = {lens: len(b) for lens, b in cat.BINDINGS.items()}
+@q("D03_lens_summary", f"""SELECT CAST(substr(analysis_id, 2, 2) AS BIGINT) AS lens, count(*) AS analyses, {', '.join(f"count(*) FILTER (status = '{x}') AS {x.lower()}" for x in ('RED', 'AMBER', 'GREEN', 'IDLE'))},
+  sum(fired)::BIGINT AS fired, arg_min(analysis_id, (priority, analysis_id)) AS worst_id, min(priority) AS worst_priority FROM ({ALL_VERDICTS}) GROUP BY 1""")
+def _(spark, sf):
+    return cat.lens_summary(all_verdicts(spark, sf))
 
 
-@q("D03_lens_summary")
-def _(spark, sf):
-    return cat.lens_summary(spark)
+_DESIGNED = ", ".join(f"'{x}'" for x in sorted(cat.DESIGNED))
 
 
-@q("A13_catalog_with_status", None)
+@q("A13_catalog_with_status", f"""SELECT analysis_id, CAST(substr(analysis_id, 2, 2) AS BIGINT) AS lens, CAST(substr(analysis_id, 6, 2) AS BIGINT) AS slot,
+  CASE WHEN analysis_id IN ({_DESIGNED}) THEN 'designed' ELSE 'given' END AS source, status, severity, fired, assessed FROM ({ALL_VERDICTS})""")
 def _(spark, sf):
-    verdicts = run_lens(cube_of(spark, sf), 1).select("analysis_id", "status")
-    return cat.catalog(spark).join(verdicts, "analysis_id", "left").select("analysis_id", "lens", "slot", "source", "status")
+    return cat.with_status(spark, all_verdicts(spark, sf)).select("analysis_id", "lens", "slot", "source", "status", "severity", "fired", "assessed")
 
 
 _CHECKS = """

@@ -278,6 +278,18 @@ def catalog(spark: SparkSession) -> DataFrame:
         rows, "analysis_id string, lens bigint, lens_name string, slot bigint, title string, question string, source string")
 
 
-def lens_summary(spark: SparkSession) -> DataFrame:
-    return catalog(spark).groupBy("lens", "lens_name").agg(
-        F.count(F.lit(1)).alias("analyses"), F.min("analysis_id").alias("first_id"), F.max("analysis_id").alias("last_id"))
+def with_status(spark: SparkSession, verdicts: DataFrame) -> DataFrame:
+    """The catalogue with what each analysis found; an entry without a verdict row has a NULL status."""
+    found = verdicts.select("analysis_id", "status", "severity", "fired", "assessed")
+    return catalog(spark).join(found, "analysis_id", "left")
+
+
+def lens_summary(verdicts: DataFrame) -> DataFrame:
+    """One row per lens: how many analyses stand at each status, how many rows fired, and the worst finding.
+
+    The worst finding has the lowest priority number; the first id decides among equals.
+    """
+    at = lambda status: F.count_if(F.col("status") == status).alias(status.lower())
+    return verdicts.groupBy("lens").agg(
+        F.count(F.lit(1)).alias("analyses"), *[at(x) for x in ("RED", "AMBER", "GREEN", "IDLE")], F.sum("fired").alias("fired"),
+        F.min_by("analysis_id", F.struct("priority", "analysis_id")).alias("worst_id"), F.min("priority").alias("worst_priority"))
