@@ -18,6 +18,8 @@ c, L = F.col, F.lit
 TYPE_PARENTS = [("Export Sales", "Sales"), ("Sales Return Note", "Credit Note"), ("Tax Invoice GST", "Retail Counter"), ("Retail Counter", "Sales"),
                 ("Local Purchase", "Purchase"), ("Purchase Return", "Debit Note"), ("Sales Order", "Sales Order"), ("Cash Payment", "Payment"),
                 ("Bank Receipt", "Receipt")]
+# Kinds whose party is credited; their round-off adds on the debit side.
+PARTY_CREDITED = ["Sales Return Note", "Local Purchase", "Bank Receipt"]
 NATION_PARENTS = ["Bank Accounts", "Cash-in-Hand", "Duties & Taxes", "Indirect Expenses", "Direct Income", "Fixed Assets", "Capital Account",
                   "Suspense", "Loans (Liability)"]
 
@@ -67,9 +69,10 @@ class Books:
         none = L(None).cast("string")
         entry = lambda name, amount, credit, when=L(True), line=None, centre=none: F.when(when, F.struct(
             *([] if line is None else [L(line).cast("bigint").alias("line")]), name.alias("ledger"), amount.cast(MONEY).alias("amount"),
-            L(credit).alias("is_credit"), centre.alias("cost_centre")))
+            (L(credit) if isinstance(credit, bool) else credit).alias("is_credit"), centre.alias("cost_centre")))
+        credited, odd = c("voucher_type").isin(PARTY_CREDITED), c("amount") - F.round("amount", 0)
         header = self.vouchers.select("company_id", "voucher_id", F.inline(F.array_compact(F.array(
-            entry(c("party"), c("amount"), False, line=1), entry(L("Round Off"), c("amount") - F.round("amount", 0), True, line=2),
+            entry(c("party"), c("amount"), credited, line=1), entry(L("Round Off"), F.abs(odd), (odd >= 0) != credited, line=2),
             entry(L("Freight Outward"), L("25.00"), True, c("state_code") == "F", 3, L("Head Office")),
             entry(L("Consulting Income"), L("500.00"), True, (c("priority") == "1-URGENT") & (c("state_code") == "O"), 4)))))
         cust = self.t("customer").select("c_custkey", "c_nationkey").join(self.t("nation").select("n_nationkey", "n_regionkey"), c("c_nationkey") == c("n_nationkey"))
@@ -166,6 +169,7 @@ FLOW_OF = """CASE WHEN voucher_type IN ('Export Sales','Tax Invoice GST') THEN '
 def books_sql() -> str:
     parents = ", ".join(f"'{x}'" for x in NATION_PARENTS)
     types = ", ".join(f"('{n}', '{p}')" for n, p in TYPE_PARENTS)
+    credited = "voucher_type IN (" + ", ".join(f"'{x}'" for x in PARTY_CREDITED) + ")"
     town = "chr(65 + n_nationkey) || 'pur'"
     return f"""WITH vouchers AS (SELECT 'CO1' AS company_id, 'V' || o_orderkey AS voucher_id, o_orderkey::VARCHAR AS voucher_number, {KIND} AS voucher_type,
    CAST(o_orderdate AS DATE) AS voucher_date, c_name AS party, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_totalprice < 5000 AS is_cancelled, o_totalprice >= 495000 AS is_optional,
@@ -179,8 +183,8 @@ li AS (SELECT 'V' || l_orderkey AS voucher_id, l_linenumber + 10 AS line, p_type
    CAST(l_discount AS DECIMAL(4,2)) AS dc FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
    LEFT JOIN part ON l_partkey = p_partkey),
 ledger_lines AS (
-   SELECT 'CO1' AS company_id, voucher_id, 1::BIGINT AS line, party AS ledger, amount, false AS is_credit, NULL::VARCHAR AS cost_centre FROM vouchers
-   UNION ALL SELECT 'CO1', voucher_id, 2, 'Round Off', CAST(amount - round(amount, 0) AS DECIMAL(18,2)), true, NULL FROM vouchers
+   SELECT 'CO1' AS company_id, voucher_id, 1::BIGINT AS line, party AS ledger, amount, {credited} AS is_credit, NULL::VARCHAR AS cost_centre FROM vouchers
+   UNION ALL SELECT 'CO1', voucher_id, 2, 'Round Off', CAST(abs(amount - round(amount, 0)) AS DECIMAL(18,2)), (amount >= round(amount, 0)) <> ({credited}), NULL FROM vouchers
    UNION ALL SELECT 'CO1', voucher_id, 3, 'Freight Outward', 25.00, true, 'Head Office' FROM vouchers WHERE state_code = 'F'
    UNION ALL SELECT 'CO1', voucher_id, 4, 'Consulting Income', 500.00, true, NULL FROM vouchers WHERE priority = '1-URGENT' AND state_code = 'O'
    UNION ALL SELECT 'CO1', voucher_id, line, 'Sales Account ' || p_type, ext, true, NULL FROM li
@@ -205,11 +209,11 @@ groups AS (SELECT DISTINCT 'CO1' AS company_id, 'GT' || p_type AS source_object_
 cost_centres AS (SELECT 'CO1' AS company_id, 'C' || s_suppkey AS source_object_id, s_name AS name FROM supplier),
 classes AS (SELECT 'CO1' AS company_id, 'L' || c_custkey AS ledger_id, CASE WHEN c_acctbal > 5000 THEN 'A' ELSE 'B' END AS tier, c_mktsegment AS customer_type,
    CASE c_mktsegment WHEN 'BUILDING' THEN 'manual' WHEN 'MACHINERY' THEN 'external_master' WHEN 'FURNITURE' THEN 'guess' ELSE 'ledger_group' END AS source FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'),
-roled AS (SELECT l.*, v.party, CASE WHEN lower(trim(l.ledger)) = lower(trim(v.party)) THEN 'PARTY' WHEN ledger = 'Output CGST' THEN 'TAX_CGST' WHEN ledger = 'Output SGST' THEN 'TAX_SGST'
+roled AS (SELECT l.*, v.party, v.{credited} AS credited, CASE WHEN lower(trim(l.ledger)) = lower(trim(v.party)) THEN 'PARTY' WHEN ledger = 'Output CGST' THEN 'TAX_CGST' WHEN ledger = 'Output SGST' THEN 'TAX_SGST'
    WHEN ledger = 'Output IGST' THEN 'TAX_IGST' WHEN ledger = 'Round Off' THEN 'ROUND_OFF' WHEN ledger = 'Trade Discount' THEN 'DISCOUNT' WHEN ledger = 'Freight Outward' THEN 'ADDITIONAL_CHARGES'
    ELSE 'BASE_AMOUNT' END AS role FROM ledger_lines l JOIN vouchers v USING (voucher_id)),
 charges AS (SELECT voucher_id, coalesce(sum(abs(amount)) FILTER (role LIKE 'TAX%'), 0) AS tax, coalesce(sum(abs(amount)) FILTER (role = 'ADDITIONAL_CHARGES'), 0) AS ch,
-   coalesce(sum(amount) FILTER (role = 'ROUND_OFF'), 0) AS ro, coalesce(sum(abs(amount)) FILTER (role = 'DISCOUNT'), 0) AS di, coalesce(sum(abs(amount)) FILTER (role = 'BASE_AMOUNT'), 0) AS base,
+   coalesce(sum(CASE WHEN is_credit = credited THEN -amount ELSE amount END) FILTER (role = 'ROUND_OFF'), 0) AS ro, coalesce(sum(abs(amount)) FILTER (role = 'DISCOUNT'), 0) AS di, coalesce(sum(abs(amount)) FILTER (role = 'BASE_AMOUNT'), 0) AS base,
    arg_min(ledger, (line, ledger)) FILTER (role = 'BASE_AMOUNT') AS base_ledger, coalesce(sum(abs(amount)) FILTER (role = 'TAX_CGST'), 0) AS cgst, coalesce(sum(abs(amount)) FILTER (role = 'TAX_SGST'), 0) AS sgst,
    coalesce(sum(abs(amount)) FILTER (role = 'TAX_IGST'), 0) AS igst FROM roled GROUP BY 1)
 """

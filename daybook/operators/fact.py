@@ -91,8 +91,19 @@ def with_roles(ledger_lines: DataFrame, vouchers: DataFrame) -> DataFrame:
     return classify_ledger_role(ledger_lines.join(who, KEY))
 
 
+def signed_round_off() -> Column:
+    """Round-off of one voucher as it moves the total: what stands opposite to the party adds, what stands on its side is taken off.
+
+    An aggregate over lines with ``role``, ``amount`` (a magnitude) and ``is_credit``. Without a party line the voucher
+    is read as a sale, where credits add; a line without a side counts as a credit.
+    """
+    credit = F.when(~c("is_credit"), -c("amount")).otherwise(c("amount"))
+    at = lambda role: F.coalesce(F.sum(F.when(c("role") == role, credit)), F.lit(0))
+    return F.when(at("PARTY") > 0, -at("ROUND_OFF")).otherwise(at("ROUND_OFF"))
+
+
 def voucher_charges(roled: DataFrame) -> DataFrame:
-    """Per voucher: tax, charges, signed round-off, discount, base ledgers, and the net load.
+    """Per voucher: tax, charges, round-off signed by its posting side, discount, base ledgers, and the net load.
 
     Sums only, so this stays a hash aggregation with map-side combine.
     """
@@ -101,7 +112,7 @@ def voucher_charges(roled: DataFrame) -> DataFrame:
     part = lambda r, v: F.coalesce(F.sum(F.when(role == r, v)), F.lit(0)).cast(MONEY)
     size = F.abs("amount")
     out = roled.groupBy(*KEY).agg(
-        part("TAX", size).alias("tax"), part("ADDITIONAL_CHARGES", size).alias("charges"), part("ROUND_OFF", c("amount")).alias("round_off"),
+        part("TAX", size).alias("tax"), part("ADDITIONAL_CHARGES", size).alias("charges"), signed_round_off().cast(MONEY).alias("round_off"),
         part("DISCOUNT", size).alias("discount"), part("BASE_AMOUNT", size).alias("base_amount"))
     return out.withColumn("charge_load", (c("tax") + c("charges") + c("round_off") - c("discount")).cast(MONEY))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import resolve_voucher_type
 from ..functions.identity import name_key
-from .fact import KEY, base_ledgers, with_roles
+from .fact import KEY, base_ledgers, signed_round_off, with_roles
 from .ranking import rank_with_other
 
 c = F.col
@@ -29,14 +29,14 @@ def _d(x: Column) -> Column:
 
 
 def voucher_ledger_breakdown(roled: DataFrame) -> DataFrame:
-    """Per voucher: taxes by kind, signed round-off, discount, charges and base ledgers.
+    """Per voucher: taxes by kind, round-off signed by its posting side, discount, charges and base ledgers.
 
     Union-territory tax is part of the state tax (one role); ``utgst`` is kept as a zero column.
     """
     part = lambda role: _d(F.sum(F.when(c("role") == role, c("amount"))))
     out = roled.groupBy(*KEY).agg(
         part("TAX_CGST").alias("cgst"), part("TAX_SGST").alias("sgst"), part("TAX_IGST").alias("igst"), _d(F.lit(0)).alias("utgst"),
-        part("TAX_CESS").alias("cess"), part("TAX_OTHER").alias("other_tax"), part("ROUND_OFF").alias("round_off"),
+        part("TAX_CESS").alias("cess"), part("TAX_OTHER").alias("other_tax"), _d(signed_round_off()).alias("round_off"),
         part("DISCOUNT").alias("discount"), part("ADDITIONAL_CHARGES").alias("charges"), part("BASE_AMOUNT").alias("base"))
     return out.withColumn("total_tax", c("cgst") + c("sgst") + c("igst") + c("utgst") + c("cess") + c("other_tax"))
 

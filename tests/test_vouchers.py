@@ -125,3 +125,22 @@ def test_city_parser(spark):
     df = spark.createDataFrame([(i, a, s) for i, (a, s, _, _) in enumerate(cases)], "i int, address_lines array<string>, state string")
     got = parse_cities(df).orderBy("i").collect()
     assert [(r["city"], r["city_confidence"]) for r in got] == [(x, y) for _, _, x, y in cases]
+
+
+def test_round_off_is_signed_by_its_side_against_the_party(spark):
+    from daybook.operators import fact as ft
+    from daybook.operators.register import voucher_ledger_breakdown
+
+    def lines(voucher, party_credit, *rounds):
+        yield ("CO1", voucher, "Acme", "Acme", 100.0, party_credit)
+        for amount, credit in rounds:
+            yield ("CO1", voucher, "Acme", "Round Off", amount, credit)
+
+    rows = [*lines("sale_up", False, (0.4, True)), *lines("sale_down", False, (0.3, False)), *lines("buy_up", True, (0.2, False)),
+            *lines("buy_down", True, (0.1, True)), *lines("both", False, (0.5, True), (0.2, False)), *lines("none", True),
+            ("CO1", "no_party", "Acme", "Rounding", 0.6, False), ("CO1", "no_side", "Acme", "Rounding", 0.7, None)]
+    raw = spark.createDataFrame(rows, "company_id string, voucher_id string, party string, ledger string, amount double, is_credit boolean")
+    roled = ft.classify_ledger_role(raw.withColumn("amount", F.col("amount").cast("decimal(18,2)")))
+    want = {"sale_up": 0.4, "sale_down": -0.3, "buy_up": 0.2, "buy_down": -0.1, "both": 0.3, "none": 0.0, "no_party": -0.6, "no_side": 0.7}
+    for out in (ft.voucher_charges(roled), voucher_ledger_breakdown(roled)):
+        assert {r["voucher_id"]: float(r["round_off"]) for r in out.collect()} == want
