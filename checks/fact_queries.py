@@ -56,6 +56,29 @@ def _(spark, sf):
     return cl.resolve_voucher_type(b.vouchers, b.types).select("voucher_id", "voucher_type", "voucher_class")
 
 
+# Another company whose types have the same names and other parents; a type it lacks goes by its name.
+_OTHER_PARENTS = [("Cash Payment", "Receipt"), ("Bank Receipt", "Sales"), ("Export Sales", "Credit Note")]
+
+
+def two_companies(spark, sf):
+    b = books(spark, sf)
+    vouchers = b.vouchers.unionByName(b.vouchers.withColumn("company_id", F.lit("CO2")))
+    other = F.array(*[F.struct(F.lit("CO2").alias("company_id"), F.lit(n).alias("name"), F.lit(p).alias("parent")) for n, p in _OTHER_PARENTS])
+    return vouchers, b.types.select(F.lit("CO1").alias("company_id"), "name", "parent").unionByName(spark.range(1).select(F.inline(other)))
+
+
+@q("E03_resolve_voucher_type_two_companies", f"""SELECT 'CO1' AS company_id, voucher_id, {CLASS_OF} AS voucher_class FROM vouchers UNION ALL SELECT 'CO2', voucher_id, CASE voucher_type
+  WHEN 'Cash Payment' THEN 'RECEIPT' WHEN 'Bank Receipt' THEN 'SALES' WHEN 'Export Sales' THEN 'CREDIT_NOTE' ELSE {CLASS_OF} END FROM vouchers""")
+def _(spark, sf):
+    return cl.resolve_voucher_type(*two_companies(spark, sf)).select("company_id", "voucher_id", "voucher_class")
+
+
+@q("E05_resolve_flow_two_companies", f"""SELECT 'CO1' AS company_id, voucher_id, {FLOW_OF} AS flow FROM vouchers UNION ALL SELECT 'CO2', voucher_id, CASE voucher_type
+  WHEN 'Cash Payment' THEN 'RECEIPT' WHEN 'Bank Receipt' THEN 'SALES' WHEN 'Export Sales' THEN 'SALES_RETURN' ELSE {FLOW_OF} END FROM vouchers""")
+def _(spark, sf):
+    return cl.resolve_flow(*two_companies(spark, sf)).select("company_id", "voucher_id", "flow")
+
+
 @q("E04_classify_ledger_role", "SELECT ledger, role, count(*) AS lines, sum(amount)::DOUBLE AS amount FROM roled WHERE role <> 'PARTY' GROUP BY 1, 2 UNION ALL SELECT 'party', 'PARTY', count(*), sum(amount)::DOUBLE FROM roled WHERE role = 'PARTY'")
 def _(spark, sf):
     b = books(spark, sf)

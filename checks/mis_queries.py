@@ -66,13 +66,25 @@ def view(name: str, fn, sql: str):
 view("F_cube_mis_matrix", mv.mis_matrix, "SELECT item, city, month, v::DOUBLE AS amount FROM mc JOIN mo USING (mn)")
 
 
-@q("F_meta_mis_summary", f"""SELECT net, vouchers, customers, rows, greatest(gross, net) AS gross, {r2('greatest(gross, net) - net')} AS charges, (SELECT count(*) FROM all_item) AS items, (SELECT count(*) FROM all_city) AS cities, (SELECT n FROM mx) AS months FROM
-  (SELECT sum(amount)::DOUBLE AS net, count(DISTINCT voucher_id) AS vouchers, count(DISTINCT customer) AS customers, count(*) AS rows, (SELECT sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS gross FROM fact)""")
+_SUMMARY = f"""SELECT net, vouchers, customers, rows, greatest(gross, net) AS gross, {r2('greatest(gross, net) - net')} AS charges, (SELECT count(*) FROM all_item) AS items, (SELECT count(*) FROM all_city) AS cities, (SELECT n FROM mx) AS months FROM
+  (SELECT sum(amount)::DOUBLE AS net, count(DISTINCT voucher_id) AS vouchers, count(DISTINCT customer) AS customers, count(*) AS rows, (SELECT sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS gross FROM fact)"""
+
+
+@q("F_meta_mis_summary", _SUMMARY)
 def _(spark, sf):
     heads = table(spark, sf, "orders").select(c("o_orderkey").alias("voucher_id"), c("o_totalprice").cast(MONEY).alias("amount"))
     return mv.mis_summary(cube(spark, sf), heads)
 
 
+@q("F_meta_mis_summary_two_companies", _SUMMARY)
+def _(spark, sf):
+    """Headers of another company with the same voucher ids stay out."""
+    heads = table(spark, sf, "orders").select(F.lit("CO1").alias("company_id"), c("o_orderkey").alias("voucher_id"), c("o_totalprice").cast(MONEY).alias("amount"))
+    other = heads.withColumn("company_id", F.lit("CO2")).withColumn("amount", (c("amount") * 3).cast(MONEY))
+    own = mv.mis_cube(cube(spark, sf).facts.withColumn("company_id", F.lit("CO1")))
+    return mv.mis_summary(own, heads.unionByName(other))
+
+
 _SUS = "(streak >= 3 OR b < 0)"
 view("F01_city_trend", mv.city_trend, f"""SELECT member, {r2('total')} AS revenue, {pct('total', T)} AS share_pct, streak, {r2('b')} AS slope, {_SUS} AS sustained,
   {r2('CASE WHEN streak > 0 THEN list_sum(list_transform(vs[(len(vs) - streak + 1):], lambda x: greatest(vs[len(vs) - streak] - x, 0))) ELSE 0 END')} AS cost_of_inaction,

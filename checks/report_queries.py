@@ -389,15 +389,19 @@ def _(spark, sf):
     return rc.master_counts({"items": b.t("part"), "cost_centres": b.t("supplier")}, {"items": b.items, "cost_centres": b.cost_centres})
 
 
-@q("Q11_missing_parents", "SELECT 'items' AS domain, name, parent AS missing_parent FROM items WHERE lower(parent) NOT IN (SELECT lower(name) FROM groups)")
+@q("Q11_missing_parents", "SELECT 'CO1' AS company_id, 'items' AS domain, name, parent AS missing_parent FROM items WHERE lower(parent) NOT IN (SELECT lower(name) FROM groups)")
 def _(spark, sf):
     b = books(spark, sf)
-    return rc.missing_parents(b.items, b.groups, "items")
+    elsewhere = b.t("part").select(F.lit("CO2").alias("company_id"), c("p_brand").alias("name")).distinct()
+    return rc.missing_parents(b.items, b.groups.select("company_id", "name").unionByName(elsewhere), "items")
 
 
-@q("Q11_id_collisions", "SELECT 'lines' AS domain, entry_id AS source_object_id, count(*) AS copies FROM stock_lines GROUP BY 2 HAVING count(*) > 1")
+@q("Q11_id_collisions", """SELECT co AS company_id, 'lines' AS domain, entry_id AS source_object_id, count(*) AS copies FROM stock_lines, (VALUES ('CO1'), ('CO2')) v(co)
+  WHERE co = 'CO1' OR quantity > 10 GROUP BY co, entry_id HAVING count(*) > 1""")
 def _(spark, sf):
-    return rc.id_collisions(books(spark, sf).stock_lines.withColumnRenamed("entry_id", "source_object_id"), "lines")
+    lines = books(spark, sf).stock_lines.select("company_id", c("entry_id").alias("source_object_id"), "quantity")
+    both = lines.unionByName(lines.filter("quantity > 10").withColumn("company_id", F.lit("CO2")))
+    return rc.id_collisions(both, "lines")
 
 
 @q("Q12_compare_runs", "SELECT (SELECT count(*) FROM events) AS rows, (SELECT count(*) FROM events) AS other_rows, 'PASS' AS status")

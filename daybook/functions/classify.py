@@ -130,35 +130,42 @@ def classify_ledger_role(lines: DataFrame) -> DataFrame:
 MAX_PARENT_HOPS = 5
 
 
+def _company(*frames: DataFrame) -> list[str]:
+    """The company column where every frame has one: names are a company's own then."""
+    return ["company_id"] if all("company_id" in x.columns for x in frames) else []
+
+
 def voucher_type_classes(types: DataFrame) -> DataFrame:
-    """type_key, parent_key, root_key, voucher_class for every voucher type.
+    """type_key, parent_key, root_key, voucher_class for every voucher type, by company where ``types`` has company_id.
 
-    The parent chain is walked at most five hops and stops at a missing or self parent.
+    The parent chain is walked at most five hops inside its company and stops at a missing or self parent.
     The frame has one row per voucher type, so these are joins of small dimension rows.
     """
+    own = _company(types)
     keyed = (
-        types.select(_text(F.col("name")).alias("type_key"), _text(F.coalesce("parent", "name")).alias("parent_key"))
+        types.select(*own, _text(F.col("name")).alias("type_key"), _text(F.coalesce("parent", "name")).alias("parent_key"))
         .filter(F.length("type_key") > 0)
-        .groupBy("type_key").agg(F.max("parent_key").alias("parent_key"))
+        .groupBy(*own, "type_key").agg(F.max("parent_key").alias("parent_key"))
     )
     edges = keyed.filter(F.col("type_key") != F.col("parent_key"))
     walk = keyed.withColumn("root_key", F.col("type_key"))
-    for hop in range(MAX_PARENT_HOPS):
-        step = edges.select(F.col("type_key").alias(f"_k{hop}"), F.col("parent_key").alias(f"_p{hop}"))
-        walk = walk.join(step, F.col("root_key") == F.col(f"_k{hop}"), "left").withColumn(
-            "root_key", F.coalesce(f"_p{hop}", "root_key")).drop(f"_k{hop}", f"_p{hop}")
+    for _ in range(MAX_PARENT_HOPS):
+        step = edges.select(*own, F.col("type_key").alias("root_key"), F.col("parent_key").alias("_up"))
+        walk = walk.join(step, [*own, "root_key"], "left").withColumn("root_key", F.coalesce("_up", "root_key")).drop("_up")
     return walk.withColumn("_text", class_text(F.col("type_key"), F.col("root_key"))).withColumn(
         "voucher_class", voucher_class(F.col("_text"))).drop("_text")
 
 
 def resolve_voucher_type(vouchers: DataFrame, types: DataFrame) -> DataFrame:
-    """Add ``voucher_class``; a type without a master row is classed by its own name."""
-    classes = voucher_type_classes(types).select("type_key", F.col("voucher_class").alias("_cls"))
+    """Add ``voucher_class``; a type without a master row in the voucher's company is classed by its own name.
+
+    Types without a company_id are shared by all companies.
+    """
+    own, shown = _company(vouchers, types), [x for x in vouchers.columns if x != "voucher_class"]
+    classes = voucher_type_classes(types if own else types.drop("company_id")).select(*own, F.col("type_key").alias("_type"), F.col("voucher_class").alias("_cls"))
     keyed = vouchers.withColumn("_type", _text(F.col("voucher_type")))
-    return keyed.join(classes, keyed["_type"] == classes["type_key"], "left").withColumn(
-        "voucher_class", F.when(F.length("_type") == 0, "OTHER").otherwise(
-            F.coalesce("_cls", voucher_class(F.col("_type"))))
-    ).drop("_type", "type_key", "_cls")
+    resolved = F.when(F.length("_type") == 0, "OTHER").otherwise(F.coalesce("_cls", voucher_class(F.col("_type"))))
+    return keyed.join(classes, [*own, "_type"], "left").select(*shown, resolved.alias("voucher_class"))
 
 
 def flow_rules(name: Column, parent: Column, cls: Column) -> Column:
@@ -169,11 +176,11 @@ def flow_rules(name: Column, parent: Column, cls: Column) -> Column:
 
 
 def resolve_flow(vouchers: DataFrame, types: DataFrame) -> DataFrame:
-    """Add the dashboard ``flow``: the type's own name and direct parent decide, goods movement first."""
-    dim = types.select(_text(F.col("name")).alias("_key"), _text(F.col("parent")).alias("_parent")).groupBy("_key").agg(
+    """Add the dashboard ``flow``: the type's own name and direct parent in its company decide, goods movement first."""
+    own, shown = _company(vouchers, types), [x for x in vouchers.columns if x != "flow"]
+    dim = types.select(*own, _text(F.col("name")).alias("_type"), _text(F.col("parent")).alias("_parent")).groupBy(*own, "_type").agg(
         F.max("_parent").alias("_parent"))
     keyed = vouchers.withColumn("_type", _text(F.col("voucher_type")))
-    joined = keyed.join(dim, keyed["_type"] == dim["_key"], "left").withColumn("_parent", F.coalesce("_parent", F.lit("")))
+    joined = keyed.join(dim, [*own, "_type"], "left").withColumn("_parent", F.coalesce("_parent", F.lit("")))
     joined = joined.withColumn("_text", class_text(F.col("_type"), F.col("_parent"))).withColumn("_cls", voucher_class(F.col("_text")))
-    return joined.withColumn("flow", flow_rules(F.col("_type"), F.col("_parent"), F.col("_cls"))).drop(
-        "_type", "_key", "_parent", "_text", "_cls")
+    return joined.select(*shown, flow_rules(F.col("_type"), F.col("_parent"), F.col("_cls")).alias("flow"))

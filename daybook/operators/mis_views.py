@@ -96,10 +96,10 @@ def mis_matrix(cube: MisCube) -> DataFrame:
 
 def mis_summary(cube: MisCube, vouchers: DataFrame) -> DataFrame:
     """Net, gross (each voucher header once), charges, and how many distinct things were sold where."""
-    key = ["voucher_id"]
-    gross = vouchers.select("voucher_id", "amount").join(cube.facts.select(*key), key, "left_semi").groupBy("voucher_id").agg(
+    key = [x for x in ("company_id", "voucher_id") if x in cube.facts.columns and x in vouchers.columns]
+    gross = vouchers.select(*key, "amount").join(cube.facts.select(*key), key, "left_semi").groupBy(*key).agg(
         F.max("amount").alias("amount")).agg(F.sum("amount").cast("double")).scalar()
-    own = cube.facts.agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("net"), F.countDistinct("voucher_id").alias("vouchers"),
+    own = cube.facts.agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("net"), F.countDistinct(*key).alias("vouchers"),
                          F.countDistinct("customer").alias("customers"), F.count(F.lit(1)).alias("rows"))
     items = cube.members(ITEM).agg(F.count(F.lit(1))).scalar()
     cities = cube.members(CITY).agg(F.count(F.lit(1))).scalar()

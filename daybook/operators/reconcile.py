@@ -145,15 +145,17 @@ def master_counts(raw: dict[str, DataFrame], canonical: dict[str, DataFrame]) ->
 
 
 def missing_parents(children: DataFrame, groups: DataFrame, domain: str) -> DataFrame:
-    """Rows whose parent is neither Primary nor a known group."""
-    known = groups.select(F.lower("name").alias("_g")).distinct()
-    return children.filter(c("parent").isNotNull() & (c("parent") != "Primary")).join(known, F.lower("parent") == c("_g"), "left_anti").select(
-        F.lit(domain).alias("domain"), "name", c("parent").alias("missing_parent"))
+    """Rows whose parent is neither Primary nor a known group of their company."""
+    known = groups.select(c("company_id").alias("_c"), F.lower("name").alias("_g")).distinct()
+    orphans = children.filter(c("parent").isNotNull() & (c("parent") != "Primary")).join(
+        known, c("company_id").eqNullSafe(c("_c")) & (F.lower("parent") == c("_g")), "left_anti")
+    return orphans.select("company_id", F.lit(domain).alias("domain"), "name", c("parent").alias("missing_parent"))
 
 
 def id_collisions(frame: DataFrame, domain: str) -> DataFrame:
-    return frame.groupBy("source_object_id").agg(F.count(F.lit(1)).alias("copies")).filter(c("copies") > 1).select(
-        F.lit(domain).alias("domain"), "source_object_id", "copies")
+    """Ids that occur more than once inside a company."""
+    return frame.groupBy("company_id", "source_object_id").agg(F.count(F.lit(1)).alias("copies")).filter(c("copies") > 1).select(
+        "company_id", F.lit(domain).alias("domain"), "source_object_id", "copies")
 
 
 def dataset_checksum(df: DataFrame) -> DataFrame:
