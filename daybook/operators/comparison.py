@@ -253,17 +253,15 @@ def rank_cells(cube: Cube, mode: str = "product") -> DataFrame:
 
 def rank_matrix(cube: Cube, mode: str = "product") -> RankMatrix:
     name = f"ranks:{mode}"
-    if name not in cube._frames:
+    if name + ":cities" not in cube._frames:
         totals = _entities(cube, mode).filter(F.col("total") != 0).select("label", "total", "ord")
-        cells = rank_cells(cube, mode).drop("ord").join(totals.select("label", "ord"), "label").persist()
+        cells = cube.kept(name, lambda: rank_cells(cube, mode).drop("ord").join(totals.select("label", "ord"), "label"))
         stats = cells.groupBy("label").agg(
             F.avg("rank").alias("avg_rank"), F.min("rank").alias("best"), F.max("rank").alias("worst"),
             F.count(one()).alias("cities"), F.count_if(F.col("rank") == 1).alias("firsts"),
             F.count_if(F.col("rank") <= 2).alias("top_two"))
-        ents = totals.join(stats, "label").withColumn(
-            "spread", F.when(F.col("cities") >= 2, F.col("worst") - F.col("best"))).persist()
-        cube._frames[name] = cells
-        cube._frames[name + ":entities"] = ents
+        ents = cube.kept(name + ":entities", lambda: totals.join(stats, "label").withColumn(
+            "spread", F.when(F.col("cities") >= 2, F.col("worst") - F.col("best"))))
         cube._frames[name + ":n"] = ents.count()
         cube._frames[name + ":cities"] = cube.all_members(CITY).count()
     month = mode == "month"

@@ -139,20 +139,18 @@ def hhi_cells(cube: Cube, axis: Axis) -> DataFrame:
     A product's cells are its cities and a city's are its products; any other axis is
     its own cell. Averaging per cell keeps seasonality that would cancel in the sum.
     """
-    name = f"hhi:{axis.key}"
-    if name in cube._frames:
-        return cube._frames[name]
+    return cube.kept(f"hhi:{axis.key}", lambda: _hhi_cells(cube, axis))
+
+
+def _hhi_cells(cube: Cube, axis: Axis) -> DataFrame:
     members = cube.members(axis).withColumn("peak", S.peak(s())).select(
         *(["member"]), *axis.cols, "total", "peak", S.first_index_of(s(), F.col("peak")).alias("peak_idx"), "s")
     if axis.key in ("city", "group"):
         key = axis.cols[0]
         cells = cube.combos_with_series().select(key, S.hhi(s()).alias("h"))
         per = cells.groupBy(key).agg(F.avg("h").alias("hhi"), F.avg(1 / F.when(F.col("h") != 0, F.col("h"))).alias("div"))
-        out = members.join(per, key, "left")
-    else:
-        out = members.withColumn("hhi", S.hhi(s())).withColumn("div", 1 / F.when(F.col("hhi") != 0, F.col("hhi")))
-    cube._frames[name] = out.persist()
-    return cube._frames[name]
+        return members.join(per, key, "left")
+    return members.withColumn("hhi", S.hhi(s())).withColumn("div", 1 / F.when(F.col("hhi") != 0, F.col("hhi")))
 
 
 def _hhi_rows(cube: Cube, axis: Axis) -> DataFrame:
