@@ -117,7 +117,7 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) ->
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
-    """Fewer rows in a batch for Python while whole texts are in it."""
+    """Fewer rows in a batch for Python while whole texts, or what is made of them, are in it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, str(rows))
@@ -146,6 +146,11 @@ def classes(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64
 
     ``part`` names the group of linked sets; it is null where the set is empty.
     """
+    with small_batches(docs.sparkSession, 500):
+        return _classes(docs, k, threshold, hot_from, hot_most)
+
+
+def _classes(docs: DataFrame, k: int, threshold: int, hot_from: int, hot_most: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     text = F.coalesce("text", F.lit(""))
     read = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_id"))
@@ -240,8 +245,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64
         return staged(taken.join(named, "text_id").select("sid", "packed"), "set-texts")
 
     packed = packed_texts(stars)
-    with small_batches(docs.sparkSession, 500):
-        links = staged(linked_pairs(stars, packed, k, threshold), "links")
+    links = staged(linked_pairs(stars, packed, k, threshold), "links")
     parts = components(links.select(c("a").alias("u"), c("b").alias("v")))
 
     # Lists whose sets are still in several components, compared pair by pair but for their heads.
@@ -257,8 +261,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: int = 75, hot_from: int = 64
         c("x.sid").alias("a"), c("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn"), F.max(reaches(*places)).alias("first")).where(wide & c("first")).select("a", "b")
     more = staged(more.join(stars, ["a", "b"], "left_anti"), "more-pairs")
     packed = packed_texts(more)
-    with small_batches(docs.sparkSession, 500):
-        found = staged(linked_pairs(more, packed, k, threshold), "more-links")
+    found = staged(linked_pairs(more, packed, k, threshold), "more-links")
     if found.limit(1).count():
         parts = components(links.unionByName(found).select(c("a").alias("u"), c("b").alias("v")))
 
