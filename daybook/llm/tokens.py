@@ -5,6 +5,8 @@ Byte-level BPE cuts a text before a single space between two visible characters,
 them, whatever stands on either side. A text is split there into pieces that keep their space, pieces met before are
 looked up, new ones go to the library in one batch, many to a text. Texts with other white space are cut only at spaces
 between visible characters. Texts that hold one of the tokenizer's added tokens go to the library whole.
+
+Arrow cuts the texts of a batch and numbers its different pieces, so Python meets each different piece of a batch once.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: A text with none of these, and visible characters at both ends, is words with one space or line break between them.
@@ -60,31 +64,45 @@ class Encoder:
         plain, other = [w for w, p in new.items() if p], [w for w, p in new.items() if not p]
         ids = dict(zip(plain, self.words(plain), strict=True)) | dict(zip(other, self.whole(other), strict=True))
         for piece, raw in ids.items():
+            if self.room <= OVERHEAD:
+                break
             cost = OVERHEAD + len(piece.encode()) + len(raw)
             if cost <= 512 and cost <= self.room:
                 self.table[piece] = raw
                 self.room -= cost
         return ids
 
+    def joined(self, texts: pa.ListArray, plain: bool) -> list[bytes]:
+        """Ids of texts that are cut into pieces; ``plain``: into words with one space or line break between them."""
+        coded = texts.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.table.get, pieces))
+        missing = [i for i, raw in enumerate(ids) if raw is None]
+        fresh = self.added_to({pieces[i]: plain and pieces[i][0] == " " for i in missing})
+        for i in missing:
+            ids[i] = fresh[pieces[i]]
+        placed, ends = np.array(ids, object)[coded.indices.to_numpy()], texts.offsets.to_numpy().tolist()
+        return [b"".join(placed[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        found, gaps, new = [], [], {}
+        out = [b""] * len(texts)
+        plain, other = [], []
         for n, t in enumerate(texts):
             if any(a in t for a in self.added):
-                found.append(self.whole([t]))
-                continue
-            plain = t != "" and not t[0].isspace() and not t[-1].isspace() and not any(c in t for c in NOT_PLAIN)
-            pieces = t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if plain else INNER_SPACE.split(t)
-            ids = list(map(self.table.get, pieces))
-            if None in ids:
-                missing = [i for i, raw in enumerate(ids) if raw is None]
-                gaps.append((n, missing, [pieces[i] for i in missing]))
-                new.update((pieces[i], plain and pieces[i][0] == " ") for i in missing)
-            found.append(ids)
-        fresh = self.added_to(new)
-        for n, missing, pieces in gaps:
-            for i, piece in zip(missing, pieces, strict=True):
-                found[n][i] = fresh[piece]
-        return list(map(b"".join, found))
+                out[n] = self.whole([t])[0]
+            elif t != "" and not t[0].isspace() and not t[-1].isspace() and not any(c in t for c in NOT_PLAIN):
+                plain.append(n)
+            elif t != "":
+                other.append(n)
+        if plain:
+            marked = pa.array([texts[n].replace("\n", "\0\n\0").replace(" ", "\0 ") for n in plain], pa.large_string())
+            for n, ids in zip(plain, self.joined(pc.split_pattern(marked, "\0"), True), strict=True):
+                out[n] = ids
+        if other:
+            pieces = pa.array([INNER_SPACE.split(texts[n]) for n in other], pa.list_(pa.large_string()))
+            for n, ids in zip(other, self.joined(pieces, False), strict=True):
+                out[n] = ids
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -93,7 +111,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(texts, path: str, end_id: int = 0, step: int = 2000) -> list[bytes]:
+def encode(texts, path: str, end_id: int = 0, step: int = 1000) -> list[bytes]:
     """Ids of each text (null: empty) followed by the end id, as little-endian unsigned 32-bit integers."""
     e, end, out = encoder(path), np.array([end_id], dtype="<u4").tobytes(), []
     texts = list(texts)

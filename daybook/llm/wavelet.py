@@ -31,14 +31,21 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        a, planes, zeros, ranks = ids.astype(np.uint32), [], [], []
-        for k in reversed(range(max(1, int(a.max(initial=0)).bit_length()))):
-            one = (a >> np.uint32(k)) & np.uint32(1) != 0
-            planes.append(np.packbits(one))
-            ranks.append(np.concatenate([[0], np.cumsum(np.add.reduceat(one, np.arange(0, len(a), BLOCK), dtype=np.uint32))]).astype("<u4") if len(a) else np.zeros(1, "<u4"))
-            low, high = a[~one], a[one]
-            zeros.append(len(low))
-            a = np.concatenate([low, high])
+        top = int(ids.max(initial=0))
+        a, planes, zeros, ranks = ids.astype(np.uint16 if top < 1 << 16 else np.uint32), [], [], []
+        for k in reversed(range(max(1, top.bit_length()))):
+            one = (a & a.dtype.type(1 << k)).astype(bool)
+            bits = np.packbits(one)
+            blocks = np.zeros(-(-len(a) // BLOCK) * (BLOCK >> 3), np.uint8)
+            blocks[: len(bits)] = bits
+            ones = np.bitwise_count(blocks.view("<u8")).reshape(-1, BLOCK >> 6).sum(axis=1, dtype=np.uint32)
+            planes.append(bits)
+            ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4"))
+            zeros.append(len(a) - int(ranks[-1][-1]))
+            b = np.empty_like(a)
+            np.compress(~one, a, out=b[: zeros[-1]])
+            np.compress(one, a, out=b[zeros[-1] :])
+            a = b
         return cls(len(ids), planes, zeros, ranks)
 
     def to_bytes(self) -> bytes:
@@ -111,14 +118,15 @@ class WaveletMatrix:
         return i
 
     def decode(self) -> np.ndarray:
-        a = np.zeros(self.n, np.uint32)
+        a = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in reversed(range(len(self.planes))):
-            one = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            one = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            low, high = a[: self.zeros[level]], a[self.zeros[level] :]
             up = np.empty_like(a)
-            up[~one] = a[: self.zeros[level]]
-            up[one] = a[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(one)] = high | a.dtype.type(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~one)] = low
             a = up
-        return a
+        return a.astype(np.uint32)
 
 
 SHARDS = "part int, seq int, doc_ids array<long>, lengths array<long>, n_tokens long, payload binary"
@@ -139,8 +147,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
             return pd.DataFrame([[part, seq, ids, [len(p) // 4 for p in parts], len(flat), WaveletMatrix.of(flat).to_bytes()]], columns=["part", "seq", "doc_ids", "lengths", "n_tokens", "payload"])
 
         for frame in frames:
-            for i in range(0, len(frame), 2000):
-                rows = frame.iloc[i : i + 2000]
+            for i in range(0, len(frame), 1000):
+                rows = frame.iloc[i : i + 1000]
                 for doc_id, raw in zip(rows.doc_id.astype("Int64"), tokens.encode(rows.text, tokenizer, end_id), strict=True):
                     if parts and held + len(raw) // 4 > shard_tokens:
                         yield shard()
