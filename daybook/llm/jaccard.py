@@ -9,6 +9,10 @@ on cannot reach the overlap asked for.
 its whole component: sets that it links need no comparison with each other. Only sets of a list whose components still
 differ afterwards are compared pair by pair, so a group of thousands of near copies costs a few comparisons for each.
 
+*Sketches.* A set carries 512 bits, each the parity of the number of its shingles that fall there. Two sets differ in at
+least as many shingles as their sketches in bits, so pairs whose sketches differ in more than the threshold allows are left
+out, in the join of a list with itself and before texts are compared. No linked pair is.
+
 Texts are shingled once; the first shingles of each are kept. Texts are read again rather than shuffled where they
 hold frequent shingles or belong to a candidate pair; bitmaps of a fixed size say which.
 """
@@ -21,7 +25,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.common import staged
@@ -70,6 +74,17 @@ def first_of(s: np.ndarray, threshold: int) -> int:
     return len(s) - -(-threshold * len(s) // 100) + 1 if len(s) else 0
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """512 parities of the shingles by their first nine bits, as eight integers."""
+    return np.packbits(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1).view(np.int64)
+
+
+def near(one: Column, n1: Column, two: Column, n2: Column, threshold: int) -> Column:
+    """Whether two sets of these sketches and sizes may reach the threshold: then they differ in no more shingles than this."""
+    apart = sum((F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(1, 8)), F.bit_count(one[0].bitwiseXOR(two[0])))
+    return (100 + threshold) * apart <= (100 - threshold) * (n1 + n2)
+
+
 def hot_places(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(which of ``s`` are frequent, the ranks of those); ``hot`` has sorted identifiers and their ranks, rarest first."""
     ids, ranks = hot
@@ -159,9 +174,10 @@ def _classes(docs: DataFrame, k: int, threshold: int, hot_from: int, hot_most: i
         for f in _slices(frames):
             sets = [shingles(t, k) for t in f.text]
             yield pd.DataFrame({"doc_id": f.doc_id.astype("Int64"), "text_id": f.text_id, "sid": pd.array([set_id(s) if len(s) else None for s in sets], "Int64"),
-                                "n_shingles": [len(s) for s in sets], "first": [s[: first_of(s, threshold)].view(np.int64) for s in sets]})
+                                "n_shingles": [len(s) for s in sets], "first": [s[: first_of(s, threshold)].view(np.int64) for s in sets],
+                                "sketch": [sketch(s) for s in sets]})
 
-    rows = staged(read.mapInPandas(sized, "doc_id long, text_id long, sid long, n_shingles long, first array<long>"), "sets")
+    rows = staged(read.mapInPandas(sized, "doc_id long, text_id long, sid long, n_shingles long, first array<long>, sketch array<long>"), "sets")
     counted = staged(rows.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "repeated-shingles")
     most = counted.where(F.col("n") >= hot_from).orderBy(F.desc("n"), "token").limit(hot_most).collect()
     ids, ranks = np.array([r.token for r in most], np.int64).view(np.uint64), np.arange(len(most))[::-1]
@@ -213,21 +229,32 @@ def _classes(docs: DataFrame, k: int, threshold: int, hot_from: int, hot_most: i
     filed = filing.mapInPandas(post, "sid long, n int, token long, at int").distinct()
     # One pass over a list: its first set, and whether there is another.
     filed = staged(filed, "postings")
-    heads = filed.groupBy("token").agg(F.min(F.struct("n", "sid", "at")).alias("head"), F.count("*").alias("sets")).where("sets > 1").select("token", "head")
+    # Long lists take their heads by one of 32 orders of the sets, so that those of one group do not all have the same one.
+    drawn = F.struct(F.xxhash64("sid", F.col("token").bitwiseAND(F.lit(31))).alias("by"), "n", "sid", "at")
+    heads = filed.groupBy("token").agg(F.min(F.struct("n", "sid", "at")).alias("least"), F.min(drawn).alias("drawn"), F.count("*").alias("sets")).where("sets > 1").select(
+        "token", F.when(F.col("sets") < 8, F.col("least")).otherwise(F.struct("drawn.n", "drawn.sid", "drawn.at")).alias("head"))
     lists = staged(filed.join(heads, "token").select("token", "sid", "n", "at", "head"), "lists")
 
-    def reaches(n1, at1, n2, at2, before=False):
-        """Size and position leave room for the overlap that the threshold asks for, if shingles ``before`` may be shared too.
+    def reaches(n1, at1, n2, at2):
+        """Size and position leave room for the overlap that the threshold asks for, if no shingle before is shared.
 
-        Without those, the first one that a linked pair shares always passes, and both sets are filed under it.
+        The first one that a linked pair shares always passes, and both sets are filed under it.
         """
-        room = F.least(n1 - at1, n2 - at2) + (F.least(at1, at2) if before else 0)
+        room = F.least(n1 - at1, n2 - at2)
         return (100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2)) & ((100 + threshold) * room >= threshold * (n1 + n2))
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     c = F.col
     stars = lists.where((c("sid") != c("head.sid")) & reaches(c("n"), c("at"), c("head.n"), c("head.at"))).select(*pair(c("sid"), c("head.sid"))).distinct()
-    stars = staged(stars, "head-pairs")
+    sketches = staged(rows.where("sid is not null").select("sid", c("n_shingles").alias("size"), "sketch").dropDuplicates(["sid"]), "sketches")
+
+    def likely_pairs(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches leave room for the threshold."""
+        one, two = (sketches.select(c("sid").alias(x), F.struct("size", "sketch").alias(f"_{x}")) for x in ("a", "b"))
+        close = near(c("_a.sketch"), c("_a.size"), c("_b.sketch"), c("_b.size"), threshold)
+        return pairs.join(one, "a").join(two, "b").where(close).select("a", "b")
+
+    stars = staged(likely_pairs(stars), "head-pairs")
 
     def packed_texts(pairs: DataFrame) -> DataFrame:
         """sid, packed of every set that the pairs name, from another reading of the documents."""
@@ -252,13 +279,14 @@ def _classes(docs: DataFrame, k: int, threshold: int, hot_from: int, hot_most: i
     labelled = lists.join(parts, lists.sid == parts.node, "left").select("token", "sid", "n", "at", c("head.sid").alias("head"), F.coalesce("component", "sid").alias("part"))
     split = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
     rest = staged(labelled.join(split, "token", "left_semi"), "split-lists")
-    x, y = rest.alias("x"), rest.alias("y")
-    # Shingles that two prefixes share, and those behind the prefixes, must together reach the overlap asked for.
-    behind = lambda n: F.ceil(threshold * n / 100).cast("int") - 1
-    wide = (100 + threshold) * (c("shared") + F.greatest(behind(c("xn")), behind(c("yn")))) >= threshold * (c("xn") + c("yn"))
+    # Sets that share a token after the same token before met in that one's list, so a pair comes once for each run of shared tokens.
+    before = F.lag("token").over(Window.partitionBy("sid").orderBy("at")).alias("before")
+    sketched = rest.join(sketches.select("sid", "sketch"), "sid").select("token", "sid", "n", "at", "part", "sketch", before)
+    x, y = sketched.alias("x"), sketched.alias("y")
+    fresh = ~F.coalesce(c("x.before") == c("y.before"), F.lit(False))
     places = (c("x.n"), c("x.at"), c("y.n"), c("y.at"))
-    more = x.join(y, (c("x.token") == c("y.token")) & (c("x.sid") < c("y.sid")) & (c("x.part") != c("y.part")) & reaches(*places, before=True)).groupBy(
-        c("x.sid").alias("a"), c("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn"), F.max(reaches(*places)).alias("first")).where(wide & c("first")).select("a", "b")
+    more = x.join(y, (c("x.token") == c("y.token")) & (c("x.sid") < c("y.sid")) & (c("x.part") != c("y.part")) & fresh & reaches(*places)
+                  & near(c("x.sketch"), c("x.n"), c("y.sketch"), c("y.n"), threshold)).select(c("x.sid").alias("a"), c("y.sid").alias("b")).distinct()
     more = staged(more.join(stars, ["a", "b"], "left_anti"), "more-pairs")
     packed = packed_texts(more)
     found = staged(linked_pairs(more, packed, k, threshold), "more-links")
