@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.identity import content_hash
+from ..session import released_shuffles
 
 c = F.col
 KEY = ["company_id", "source_object_id"]
@@ -33,7 +34,9 @@ def latest_per_key(batch: DataFrame, version: str = "alter_id") -> DataFrame:
     """The last version of every key in a batch; rows without an id are left out."""
     rest = [x for x in batch.columns if x not in KEY]
     good = batch.filter(c("source_object_id").isNotNull() & (F.length("source_object_id") > 0))
-    return good.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.struct(c(version), *[c(x) for x in rest if x != version])).alias("_r")).select(*KEY, "_r.*")
+    # The row is its own order: it is shuffled once, not beside a copy to compare it by.
+    last = good.groupBy(*KEY).agg(F.max(F.struct(version, *[x for x in rest if x != version])).alias("_r"))
+    return last.select(*KEY, *[c(f"_r.{x}").alias(x) for x in rest])
 
 
 def skipped_without_id(batch: DataFrame) -> DataFrame:
@@ -182,22 +185,22 @@ class Mirror:
         paths = [f"{self.path}/kind={kind}/version={v}" for v in sorted(versions)]
         return self.spark.read.option("basePath", self.path).option("mergeSchema", True).parquet(*paths)
 
-    def _parts(self, before: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
-        """(newest base, committed deltas after it)."""
+    def _parts(self, before: int | None = None) -> tuple[DataFrame | None, DataFrame | None, bool]:
+        """(newest base, committed deltas after it, whether they are a single one)."""
         listed = self._listed(before)
         base = max((r["version"] for r in listed if r["kind"] == "base"), default=None)
         deltas = {r["version"] for r in listed if r["kind"] == "delta" and (base is None or r["version"] > base)}
-        return self._rows("base", [] if base is None else [base]), self._rows("delta", list(deltas))
+        return self._rows("base", [] if base is None else [base]), self._rows("delta", list(deltas)), len(deltas) == 1
 
     @staticmethod
-    def _folded(base: DataFrame | None, deltas: DataFrame | None, where: Column | None = None) -> DataFrame | None:
-        """One row per key. ``where`` is for rows of the base and for the latest of a key in the deltas, never for older ones."""
+    def _folded(base: DataFrame | None, deltas: DataFrame | None, where: Column | None = None, single: bool = False) -> DataFrame | None:
+        """One row per key. ``where`` is for rows of the base and for the latest of a key in the deltas, never for older ones; ``single``: they are one delta."""
         keep = lambda df: df.drop(*PLACE) if where is None else df.filter(where).drop(*PLACE)
         if deltas is None:
             return None if base is None else keep(base)
         rest = [x for x in deltas.columns if x not in [*KEY, *PLACE]]
-        # A key's history is folded by aggregation, so a hot key is not gathered in one task.
-        latest = deltas.groupBy(*KEY).agg(F.max_by(F.struct(*rest), c("version")).alias("_r")).select(*KEY, "_r.*")
+        # A key's history is folded by aggregation, so a hot key is not gathered in one task. One delta has one row per key as it is.
+        latest = deltas if single else deltas.groupBy(*KEY).agg(F.max_by(F.struct(*rest), c("version")).alias("_r")).select(*KEY, "_r.*")
         if base is None:
             return keep(latest)
         changed = deltas.select(c("company_id").alias("_c"), c("source_object_id").alias("_s")).distinct()
@@ -207,15 +210,15 @@ class Mirror:
     def state(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
         """Latest row per key, tombstones included, as it was ``before`` a version; of some key buckets only, if given. None while there is nothing."""
         pruned = lambda df: df if df is None or buckets is None else df.filter(c("bucket").isin(buckets))
-        base, deltas = self._parts(before)
-        return self._folded(pruned(base), pruned(deltas))
+        base, deltas, single = self._parts(before)
+        return self._folded(pruned(base), pruned(deltas), single=single)
 
     def read(self, company: str, where: Column | None = None) -> DataFrame | None:
         """Live rows of a company, with a condition on their columns that reaches the scan of the base."""
         own = lambda df: None if df is None else df.filter((c("co") == f"c-{company}") & (c("company_id") == company))
-        base, deltas = self._parts()
+        base, deltas, single = self._parts()
         live = ~c("is_deleted") if where is None else ~c("is_deleted") & where
-        return self._folded(own(base), own(deltas), live)
+        return self._folded(own(base), own(deltas), live, single)
 
     def events(self) -> DataFrame | None:
         """The feed: every change of every committed delta that was not vacuumed."""
@@ -242,7 +245,8 @@ class Mirror:
         state = self.state(version + 1) if version > base else None
         if state is None:
             return
-        self._write(state, "base", version)
+        with released_shuffles(state.sparkSession):
+            self._write(state, "base", version)
         last = {}
         for r in listed:
             if r["batch"] is not None and (r["writer"] not in last or r["batch"] > last[r["writer"]]["batch"]):
@@ -282,22 +286,24 @@ class Mirror:
                 "deleted_at", F.lit(None).cast("timestamp")).withColumn("synced_at", F.current_timestamp()).withColumn("last_run_id", F.lit(run_id))
         else:
             classified = upsert_by_hash(state, batch, run_id, order)
-        classified = classified.persist()
-        stats = upsert_stats(classified).first()
         rows = classified.filter(c("change") != "UNCHANGED")
         tombstoned, refused = 0, None
-        if full_read and state is not None:
-            gone = tombstone_missing(state if company is None else state.filter(c("company_id") == company), batch, run_id)
-            tombstoned, refused = (0 if gone.refused else gone.vanished), gone.refused
-            rows = rows.unionByName(gone.rows, allowMissingColumns=True)
-        self._write(rows, "delta", version)
+        # Nothing is kept: what a batch shuffles goes when its delta is written, and the delta says what it changed.
+        with released_shuffles(batch.sparkSession):
+            if full_read and state is not None:
+                gone = tombstone_missing(state if company is None else state.filter(c("company_id") == company), batch, run_id)
+                tombstoned, refused = (0 if gone.refused else gone.vanished), gone.refused
+                rows = rows.unionByName(gone.rows, allowMissingColumns=True)
+            self._write(rows, "delta", version)
+            skipped = skipped_without_id(batch).count()
+            total = None if state is None else good.select(*KEY).distinct().count()
         # A batch that changed nothing has no files; it is committed, but no state reads it.
         filled = any(n.startswith("co=") for n in self._names(f"{self.path}/kind=delta/version={version}"))
+        _, inserted, updated, _ = upsert_stats(self._rows("delta", [version])).first() if filled else (0, 0, 0, 0)
+        stats = (inserted, inserted, 0, 0) if total is None else (total, inserted, updated, total - inserted - updated)
         self._commit(writer, number, version, "delta" if filled else "empty")
-        classified.unpersist()
         if len({r["version"] for r in self._listed() if r["kind"] in ("delta", "empty")}) >= self.compact_every:
             self.compact(version)
-        skipped = skipped_without_id(batch).count()
         return self.spark.createDataFrame([(*stats, skipped, tombstoned, refused)],
                                           "total bigint, inserted bigint, updated bigint, unchanged bigint, skipped bigint, tombstoned bigint, refused string")
 
